@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import decontaminate, mixing, secrets, sharding, simhash
 
 QUERIES = {
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op10_sharding": sharding.OP10_SQL,
 }
