@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, sharding, simhash
+from . import decontaminate, embeddings, langid, mixing, secrets, sharding, simhash
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
+    "op8_embedding_near_dedup": embeddings.OP8_SQL,
     "op10_sharding": sharding.OP10_SQL,
 }
