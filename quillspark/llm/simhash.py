@@ -200,9 +200,9 @@ def links(fps: DataFrame, most: int = BITS_APART, piece: int = PIECE) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, most: int = BITS_APART, piece: int = PIECE) -> DataFrame:
-    """(doc_id, row_key, fp, component_id) of every row of ``docs(doc_id, text)``.
+    """(doc_id, row_key, fp, component, component_id) of every row of ``docs(doc_id, text)``.
 
-    component_id is the least id of the rows that links join. Null and empty texts have
+    component names the group, component_id is the least id of the rows that links join. Null and empty texts have
     fingerprint 0 and are linked like any other; rows with a null id take part, but give no
     component its id (null if all of its ids are); repeated rows share all values; an empty
     table gives no rows. Equal fingerprints are one node, however many rows have them.
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, most: int = BITS_APART, piece: int = PIECE)
     found = connected_components(links(nodes.select("fp"), most, piece))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(ids, "component").select(F.col("fp").alias("__fp"), "component_id"))
+    named = cut(named.join(ids, "component").select(F.col("fp").alias("__fp"), "component", "component_id"))
     return fps.join(named, fps.fp == F.col("__fp")).drop("__fp")
 
 
