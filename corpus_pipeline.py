@@ -24,9 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least id, once if its row is repeated."""
-    found = cut(simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "row_key", "component_id"))
+    found = cut(simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "row_key", "component", "component_id"))
     # of each group the least id, and of rows that share that id one key
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_key").alias("stays"), F.count("*").alias("rows"))
+    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("stays"), F.count("*").alias("rows"))
     leaders = cut(leaders)
     gone = found.join(leaders.select(F.col("stays").alias("row_key")), "row_key", "left_anti")
     kept = _without(docs, gone)
