@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html_text, langid, linedup, mixing, secrets, sharding, simhash
+from . import decontaminate, embeddings, html_text, langid, linedup, mixing, pii, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_language_id": langid.op2_language_id,
     "op3_line_dedup": linedup.op3_line_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
