@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,28 +24,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@register(
-    "running_headers",
-    r"""
-with l as (
-  select doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
-)
-select doc_id, line, count(*) as repeats from l where length(line) > 12 group by doc_id, line having count(*) >= 3
-""",
-)
-def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of over 12 characters that a document repeats three times or more."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("doc_id", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where(F.length("line") > 12)
-    return lines.groupBy("doc_id", "line").agg(F.count("*").alias("repeats")).where("repeats >= 3")
-
-
-FLAGSHIP = running_headers
-
-
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page furniture of all documents."""
+    return queries()["running_headers"](spark, sf_dir)
+
+
+def _load() -> None:
+    from .plans import fixture_queries, table_queries  # noqa: F401  they register themselves
