@@ -24,6 +24,21 @@ TITLE_WORD = r"(?i)\b(?:" + "|".join(vocab.TITLE_WORDS) + r")\b"
 ORG_WORD = "(?i)" + "|".join(vocab.ORG_WORDS)
 
 
+def constant(v: object) -> str:
+    """A literal as SQL text: constant tables are parsed in one piece instead of being built cell by cell."""
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(f"{constant(k)}, {constant(v)}" for k, v in pairs.items()) + ")")
+
+
+def constant_rows(names: str, rows: list[tuple]) -> Column:
+    """An array of structs with the fields ``names``."""
+    cells = ("named_struct(" + ", ".join(f"'{n}', {constant(v)}" for n, v in zip(names.split(), row, strict=True)) + ")" for row in rows)
+    return F.expr("array(" + ", ".join(cells) + ")")
+
+
 def squash(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -207,3 +207,62 @@ _FX_NAMES = Fixture("line string", (("Rin Example",), ("DR. RIN EXAMPLE",), ("Ex
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = headings.resolve(_FX_NAMES.frame(spark), approximate=False)
     return rows.select("line", T.person_name(F.col("line"), F.col("heading_key")).alias("person"), T.name_from_email(F.col("line")).alias("from_email"), T.slug(F.col("line")).alias("slug"))
+
+
+_CV = """RIN EXAMPLE
+Senior Lecturer in Data Systems
+rin.example@uni.example | +10 55 555 0100
+
+EDUCATION
+• Master of Science in Statistics, North College, Canada (2012)
+• Bachelor of Arts in History, South University, Canada (2009)
+
+WORK EXPERIENCE
+Lecturer, East Institute, 2012 - 2016
+Senior Lecturer, West Academy, 2017 - Present
+
+AWARDS AND RECOGNITIONS
+First prize for teaching of statistics.
+
+FAVOURITE PLACES TO WALK
+The hills north of the old town"""
+_FX_CV = Fixture("doc_id long, text string", ((1, _CV), (2, None), (3, "")))
+
+
+@register("structured_items", Fixture("section string, raw_text string, fields string, status string", (
+    ("email", "rin.example@uni.example", "value=rin.example@uni.example", "approved"),
+    ("full_name", "RIN EXAMPLE", "value=RIN EXAMPLE", "approved"),
+    ("job_title", "Senior Lecturer in Data Systems", "value=Senior Lecturer in Data Systems", "pending_review"),
+    ("contact_info", "+10 55 555 0100", "value=+10 55 555 0100", "approved"),
+    ("qualifications", "Master of Science in Statistics, North College, Canada (2012)", "country=Canada|degree=Master of Science|institution=North College|subject=Statistics|year=2012", "approved"),
+    ("qualifications", "Bachelor of Arts in History, South University, Canada (2009)", "country=Canada|degree=Bachelor of Arts|institution=South University|subject=History|year=2009", "approved"),
+    ("previous_employment", "Lecturer, East Institute, 2012 - 2016", "employer=East Institute|end_date=2016|start_date=2012|title=Lecturer", "pending_review"),
+    ("present_employment", "Senior Lecturer, West Academy, 2017 - Present", "end_date=|is_current=true|start_date=2017|title=Senior Lecturer|unit=West Academy", "pending_review"),
+    ("awards", "First prize for teaching of statistics.", "", "approved"),
+    ("awards", "FAVOURITE PLACES TO WALK", "", "approved"),
+    ("awards", "The hills north of the old town", "", "approved"),
+)).sql())
+def structured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow on one document with all parts, one null and one empty text."""
+    from . import structure
+
+    found = structure.structured(_FX_CV.frame(spark))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return found.select("section", "raw_text", pairs.alias("fields"), "status")
+
+
+_FX_SAID = Fixture("doc_id long, item_ord int, section string, value string, raw_text string", ((1, 0, "full_name", "RIN EXAMPLE", "RIN EXAMPLE"), (1, 1, "email", "rin.example@uni.example", "rin.example@uni.example | +10 55 555 0100"), (1, 2, "qualifications", "", "Master of Science in Statistics, North College, Canada (2012)"), (1, 3, "job_title", "Senior Lecturer in Data Systems", "Senior Lecturer in Data Systems")))
+
+
+@register("unmapped_lines", Fixture("line_no int, value string, context string", (
+    (6, "• Bachelor of Arts in History, South University, Canada (2009)", "EDUCATION"),
+    (9, "Lecturer, East Institute, 2012 - 2016", "WORK EXPERIENCE"),
+    (10, "Senior Lecturer, West Academy, 2017 - Present", "WORK EXPERIENCE"),
+    (13, "First prize for teaching of statistics.", "AWARDS AND RECOGNITIONS"),
+    (16, "The hills north of the old town", "FAVOURITE PLACES TO WALK"),
+)).sql())
+def unmapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import structure
+
+    items = _FX_SAID.frame(spark).select("doc_id", "item_ord", "section", F.create_map(F.lit("value"), F.col("value")).alias("fields"), "raw_text")
+    return structure.left_over(_FX_CV.frame(spark), items).select("line_no", "value", "context")
