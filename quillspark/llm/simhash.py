@@ -108,7 +108,7 @@ def anchored(fps: DataFrame) -> DataFrame:
 
 def _near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (index into a, index into b) that differ in ``most`` bits or fewer, compared in blocks."""
-    left, right, rows = [], [], max(1, 2_000_000 // max(1, len(b)))
+    left, right, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)], max(1, 2_000_000 // max(1, len(b)))
     for at in range(0, len(a), rows):
         i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= most)
         left.append(i + at)
