@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as T
-from ..operators import advice, commands, fields, grouping, headings, lines, render, review, routing
+from ..operators import advice, commands, enrich, fields, grouping, headings, lines, render, review, rewrites, routing
 from .tables import Fixture
 
 HEADINGS = ["EDUCATION", "Selected Awards 2019-2021", "ACADAMIC QUALIFCATIONS", "RESEARCH GRANTS, FUNDING AND CONSULTANCY PROJECTS:", "I like awards and books.", "SUMMARY OF MY LIFE", "MY BEST JOURNAL ARTICLES EVER", "CAREER DETAILS — PRESENT EMPLOYMENT", "Hello world", "TEACHING AND LEARNING", "Key Skills", "SITE VISITS"]
@@ -136,7 +136,7 @@ def _items(spark: SparkSession, fixture: Fixture) -> DataFrame:
     rows = fixture.frame(spark)
     none = F.array().cast("array<string>")
     made = F.when(F.col("keys") == "", F.create_map().cast("map<string,string>")).otherwise(F.map_from_arrays(F.split("keys", r"\|"), F.split("vals", r"\|")))
-    return rows.select("doc_id", "item_ord", "section", made.alias("fields"), "raw_text", "confidence", none.alias("flags"), "status", none.alias("actions"))
+    return rows.select("doc_id", F.col("item_ord").cast("long").alias("item_ord"), "section", made.alias("fields"), "raw_text", "confidence", none.alias("flags"), "status", none.alias("actions"))
 
 
 _FX_VALIDATE = Fixture(_ITEM, (
@@ -152,7 +152,7 @@ _FX_VALIDATE = Fixture(_ITEM, (
 ))
 
 
-@register("validated_items", Fixture("item_ord int, flags string, status string", (
+@register("validated_items", Fixture("item_ord long, flags string, status string", (
     (0, "invalid_email_format", "pending_review"), (1, "medium_confidence,overlapping_employment_dates", "pending_review"), (2, "medium_confidence,overlapping_employment_dates", "pending_review"),
     (3, "medium_confidence,present_employment_has_end_date_review_section", "pending_review"), (4, "medium_confidence,possible_duplicate_publication", "pending_review"), (5, "medium_confidence,possible_duplicate_publication", "pending_review"),
     (6, "medium_confidence", "approved"), (7, "end_date_before_start_date", "pending_review"), (8, "invalid_url_format,low_confidence", "pending_review"),
@@ -232,7 +232,7 @@ _FX_CV = Fixture("doc_id long, text string", ((1, _CV), (2, None), (3, "")))
 @register("structured_items", Fixture("section string, raw_text string, fields string, status string", (
     ("email", "rin.example@uni.example", "value=rin.example@uni.example", "approved"),
     ("full_name", "RIN EXAMPLE", "value=RIN EXAMPLE", "approved"),
-    ("job_title", "Senior Lecturer in Data Systems", "value=Senior Lecturer in Data Systems", "pending_review"),
+    ("job_title", "Senior Lecturer, West Academy, 2017 - Present", "value=Senior Lecturer", "pending_review"),
     ("contact_info", "+10 55 555 0100", "value=+10 55 555 0100", "approved"),
     ("qualifications", "Master of Science in Statistics, North College, Canada (2012)", "country=Canada|degree=Master of Science|institution=North College|subject=Statistics|year=2012", "approved"),
     ("qualifications", "Bachelor of Arts in History, South University, Canada (2009)", "country=Canada|degree=Bachelor of Arts|institution=South University|subject=History|year=2009", "approved"),
@@ -266,3 +266,124 @@ def unmapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     items = _FX_SAID.frame(spark).select("doc_id", "item_ord", "section", F.create_map(F.lit("value"), F.col("value")).alias("fields"), "raw_text")
     return structure.left_over(_FX_CV.frame(spark), items).select("line_no", "value", "context")
+
+
+_FX_REWRITE = Fixture(_ITEM, (
+    (1, 0, "full_name", "value", "Dr Rin Example", "Dr Rin Example", 0.8, "pending_review"),
+    (1, 1, "awards", "", "", "RIN EXAMPLE", 0.8, "pending_review"),
+    (1, 2, "skills", "", "", "Diploma in Welding, North College, Canada 2011", 0.8, "pending_review"),
+    (1, 3, "awards", "", "", "SENIOR ANALYST Delta Works / Quito, EC / 2015 - 2018 Led the team", 0.9, "pending_review"),
+    (1, 4, "awards", "", "", "First prize", 0.8, "pending_review"),
+    (2, 0, "knowledge_exchange", "", "", "MEDIA COVERAGE", 0.8, "pending_review"),
+    (2, 1, "knowledge_exchange", "", "", "Radio talk on bridges", 0.8, "pending_review"),
+    (2, 2, "knowledge_exchange", "", "", "A paper on bridges, 2019", 0.8, "pending_review"),
+    (2, 3, "knowledge_exchange", "", "", "Another talk", 0.8, "pending_review"),
+    (2, 4, "skills", "", "", "VISA STATUS: resident", 0.4, "pending_review"),
+))
+
+
+@register("name_echoes", Fixture("doc_id int, item_ord long", ((1, 0), (1, 2), (1, 3), (1, 4), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4))).sql())
+def name_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrites.drop_name_echoes(_items(spark, _FX_REWRITE)).select("doc_id", "item_ord")
+
+
+@register("untangled_items", Fixture("item_ord long, section string, fields string, confidence double", (
+    (2, "qualifications", "country=Canada|degree=Diploma|institution=North College|subject=Welding|year=2011", 0.7),
+    (3, "previous_employment", "_line_override=SENIOR ANALYST, Delta Works (2015 – 2018)\nLed the team|employer=Delta Works|end_date=2018|start_date=2015|title=SENIOR ANALYST", 0.7),
+    (4, "awards", "", 0.8),
+)).sql())
+def untangled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rewrites.untangle(_items(spark, _FX_REWRITE)).where("doc_id = 1 and item_ord >= 2")
+    return found.select("item_ord", "section", _pairs().alias("fields"), "confidence")
+
+
+def _pairs():
+    return F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+
+
+@register("items_without_home", Fixture("item_ord long, section string, confidence double", ((0, "unmapped", 0.5), (1, "unmapped", 0.5), (2, "knowledge_exchange", 0.8), (3, "knowledge_exchange", 0.8), (4, "unmapped", 0.4))).sql())
+def items_without_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrites.without_home(_items(spark, _FX_REWRITE)).where("doc_id = 2").select("item_ord", "section", "confidence")
+
+
+_FX_ROLES_NOW = Fixture(_ITEM, (
+    (1, 0, "present_employment", "title|unit", "Dean of Arts|West", "Dean of Arts, West, 2020 - Present", 0.8, "pending_review"),
+    (1, 1, "job_title", "value", "Lecturer", "Lecturer", 0.7, "pending_review"),
+    (2, 0, "previous_employment", "title|employer|is_current", "Analyst|Delta|true", "Analyst, Delta, 2021 - Present", 0.65, "pending_review"),
+    (3, 0, "awards", "", "", "Senior Lecturer | 2019 to present", 0.8, "pending_review"),
+    (4, 0, "previous_employment", "title|employer", "Tutor|East", "Tutor, East, 2010 - 2012", 0.65, "pending_review"),
+    (5, 0, "present_employment", "title", "Dean", "Dean", 0.8, "pending_review"),
+    (5, 1, "present_employment", "title", "Chair", "Chair", 0.8, "pending_review"),
+    (5, 2, "job_title", "value", "Lecturer", "Lecturer", 0.7, "pending_review"),
+))
+
+
+@register("promoted_roles", Fixture("doc_id int, section string, value string, confidence double", (
+    (1, "present_employment", "Dean of Arts", 0.8), (1, "job_title", "Dean of Arts", 0.7),
+    (2, "present_employment", "Analyst", 0.65), (2, "job_title", "Analyst", 0.7),
+    (3, "awards", "Senior Lecturer | 2019 to present", 0.8), (3, "present_employment", "Senior Lecturer", 0.6), (3, "job_title", "Senior Lecturer", 0.7),
+    (4, "previous_employment", "Tutor", 0.65), (4, "job_title", "Tutor", 0.5),
+    (5, "present_employment", "Dean", 0.8), (5, "present_employment", "Chair", 0.8), (5, "job_title", "Lecturer", 0.7),
+)).sql())
+def promoted_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The present role as the title, and a title guessed for a document that has none."""
+    found = rewrites.guess_title(rewrites.promote_present(_items(spark, _FX_ROLES_NOW)))
+    return found.select("doc_id", "section", F.coalesce(F.col("fields")["value"], F.col("fields")["title"], "raw_text").alias("value"), "confidence")
+
+
+_FX_TITLES = Fixture(_ITEM, (
+    (1, 0, "job_title", "value", "Senior Lecturer and Head of Research", "t", 0.7, "pending_review"),
+    (2, 0, "job_title", "value", "Senior Lecturer, Northern Lights University", "t", 0.7, "pending_review"),
+    (3, 0, "job_title", "value", "Lecturer • Quito", "t", 0.7, "pending_review"),
+    (4, 0, "awards", "value", "A, North University", "t", 0.8, "pending_review"),
+))
+
+
+@register("clean_titles", Fixture("doc_id int, value string, confidence double, flags string", ((1, "Senior Lecturer\nHead of Research", 0.65, "multi_title_split"), (2, "Senior Lecturer", 0.65, "institution_stripped_from_title"), (3, "Lecturer", 0.7, ""), (4, "A, North University", 0.8, ""))).sql())
+def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrites.clean_titles(_items(spark, _FX_TITLES)).select("doc_id", F.col("fields")["value"].alias("value"), "confidence", F.array_join("flags", ",").alias("flags"))
+
+
+_FX_DETAILS = Fixture(_ITEM, (
+    (1, 0, "qualifications", "degree", "Diploma", "Diploma in Arts", 0.8, "pending_review"),
+    (1, 1, "qualifications", "", "", "GPA: 3.7/4.0", 0.7, "pending_review"),
+    (1, 2, "qualifications", "", "", "Thesis title: On bridges", 0.7, "pending_review"),
+    (1, 3, "qualifications", "", "", "Certificate in Maths", 0.7, "pending_review"),
+    (2, 0, "qualifications", "", "", "GPA 3.0", 0.7, "pending_review"),
+))
+
+
+@register("attached_details", Fixture("doc_id int, item_ord long, raw_text string, confidence double", ((1, 0, "Diploma in Arts GPA: 3.7/4.0 Thesis title: On bridges", 0.8), (1, 3, "Certificate in Maths", 0.7), (2, 0, "GPA 3.0", 0.7))).sql())
+def attached_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrites.attach_details(_items(spark, _FX_DETAILS)).select("doc_id", "item_ord", "raw_text", "confidence")
+
+
+_FX_FACTS = Fixture(_ITEM, (
+    (1, 0, "full_name", "value", "Dr. Rin Example", "x", 0.8, "approved"),
+    (1, 1, "job_title", "value", "Economist", "x", 0.7, "approved"),
+    (1, 2, "qualifications", "degree", "MSc", "MSc, North College", 0.8, "approved"),
+    (1, 3, "previous_employment", "title|start_date", "Analyst|2016", "x", 0.8, "approved"),
+    (1, 4, "profiles_links", "platform|url", "Google Scholar|https://scholar.example/1", "x", 0.9, "approved"),
+    (1, 5, "associations", "", "", "Guild of Bridges", 0.8, "approved"),
+    (2, 0, "full_name", "value", "Ann Other", "x", 0.8, "approved"),
+    (2, 1, "job_title", "value", "Tutor", "x", 0.7, "approved"),
+))
+
+
+@register("seeded_profiles", Fixture("profile_id string, full_name string, job_title string, links string, memberships string", (("rin-example", "Dr. Rin Example", "Economist", "google_scholar=https://scholar.example/1", "Guild of Bridges"), ("ann-other", "Ann Other", "Tutor", "", ""))).sql())
+def seeded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = enrich.seed_profiles(_items(spark, _FX_FACTS))
+    return found.select("profile_id", "full_name", "job_title", F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("links"), F.array_join("memberships", "|").alias("memberships"))
+
+
+@register("drafted_biographies", Fixture("doc_id int, text string", ((1, "Dr. Rin Example works as an Economist; holds an MSc; has worked for 10 years."),)).sql())
+def drafted_biographies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.biographies(_items(spark, _FX_FACTS), 2026)
+
+
+_FX_PHOTOS = Fixture("doc_id int, photo_id int, digest string, width int, height int", ((1, 1, "a", 100, 120), (1, 2, "b", 300, 320), (1, 3, "b", 300, 320), (1, 4, "c", 900, 90), (1, 5, "d", 110, 130), (2, 1, "e", 10, 1)))
+
+
+@register("portraits", Fixture("doc_id int, photo_id int", ((1, 5),)).sql())
+def portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.best_photo(_FX_PHOTOS.frame(spark))

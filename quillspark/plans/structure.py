@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import fields, grouping, headings, letterhead, lines, reconcile, review, routing
+from ..operators import fields, grouping, headings, letterhead, lines, reconcile, review, rewrites, routing
 from .stage import staged
 
 #: Confidence of items by how their section was known.
@@ -50,12 +50,18 @@ def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int =
     )
     level = F.when(section == "_generic_employment", 0.65).when(section == "grants", 0.75).when((section == "qualifications") & (F.char_length("text") <= 40), 0.7).otherwise(0.8)
     none = F.array().cast("array<string>")
-    items = typed.join(officially, ["doc_id", "section"], "left").select("doc_id", F.xxhash64("section", "item_no").alias("item_ord"), F.col("target").alias("section"), parsed.alias("fields"), F.col("text").alias("raw_text"), level.alias("confidence"), none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"), "authoritative")
+    items = typed.join(officially, ["doc_id", "section"], "left").select("doc_id", F.col("first_line").alias("item_ord"), F.col("target").alias("section"), parsed.alias("fields"), F.col("text").alias("raw_text"), level.alias("confidence"), none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"), "authoritative")
     items = items.where((F.col("section") != "biography") | T.prose(F.col("raw_text")))
-    items = routing.reroute(items).drop("authoritative")
-    heads = staged(letterhead.letterhead(body)).select("doc_id", F.xxhash64("section").alias("item_ord"), "section", _map(value=F.col("value")).alias("fields"), F.col("value").alias("raw_text"), "confidence", none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"))
-    links = fields.identifiers(body).select("doc_id", F.xxhash64("platform", "url").alias("item_ord"), F.lit("profiles_links").alias("section"), _map(platform=F.col("platform"), url=F.col("url")).alias("fields"), F.col("url").alias("raw_text"), F.lit(0.9).alias("confidence"), none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"))
-    return staged(items.unionByName(heads).unionByName(links))
+    items = staged(items)
+    heads = staged(letterhead.letterhead(body)).select("doc_id", (F.array_position(F.array(*map(F.lit, rewrites.LETTERHEAD)), F.col("section")) - 10).alias("item_ord"), "section", _map(value=F.col("value")).alias("fields"), F.col("value").alias("raw_text"), "confidence", none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"))
+    links = fields.identifiers(body).select("doc_id", (F.pmod(F.xxhash64("platform", "url"), F.lit(1 << 30)) + (1 << 40)).alias("item_ord"), F.lit("profiles_links").alias("section"), _map(platform=F.col("platform"), url=F.col("url")).alias("fields"), F.col("url").alias("raw_text"), F.lit(0.9).alias("confidence"), none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"))
+    # from here on, items move by what they say: echoes of the name, role words, mixed sections, content
+    # without a home, the present role, and titles, in that order
+    found = rewrites.drop_name_echoes(items.unionByName(heads.withColumn("authoritative", F.lit(False))).unionByName(links.withColumn("authoritative", F.lit(False))))
+    found = staged(routing.reroute(rewrites.attach_details(found)).drop("authoritative"))
+    found = staged(rewrites.without_home(rewrites.untangle(found)))
+    found = staged(rewrites.clean_titles(rewrites.promote_present(found)))
+    return staged(rewrites.clean_titles(rewrites.guess_title(found)))
 
 
 def structured(docs: DataFrame, taught: DataFrame | None = None, threshold: float = vocab.APPROVE) -> DataFrame:
