@@ -190,9 +190,9 @@ def links(fps: DataFrame, most: int = BITS_APART, piece: int = PIECE) -> DataFra
     tagged = placed.join(heavy, "anchor", "left")
     pieces = F.ceil(F.col("n") / piece).cast("int")
     mine = F.pmod(F.xxhash64("fp"), pieces).cast("int")
-    # a piece meets every other one, itself included; the key names the anchor and the two
-    meets = F.when(F.col("n").isNull(), F.array(F.struct(F.xxhash64("anchor").alias("key"), F.lit(2).alias("own")))).otherwise(
-        F.transform(F.sequence(F.lit(0), pieces - 1), lambda x: F.struct(F.xxhash64(F.col("anchor"), F.least(x, mine), F.greatest(x, mine)).alias("key"), F.when(x == mine, 2).when(x > mine, 0).otherwise(1).alias("own")))
+    # a piece meets every other one, itself included; the key names the anchor and the two, and is negative, as no anchor is
+    meets = F.when(F.col("n").isNull(), F.array(F.struct(F.col("anchor").alias("key"), F.lit(2).alias("own")))).otherwise(
+        F.transform(F.sequence(F.lit(0), pieces - 1), lambda x: F.struct(F.xxhash64(F.col("anchor"), F.least(x, mine), F.greatest(x, mine)).bitwiseOR(F.lit(-(1 << 63))).alias("key"), F.when(x == mine, 2).when(x > mine, 0).otherwise(1).alias("own")))
     )
     dealt = tagged.select("fp", F.explode(meets).alias("m")).select("m.key", F.col("m.own").cast("long").alias("own"), "fp")
     grouped = dealt.repartition("key").sortWithinPartitions("key")
