@@ -11,10 +11,11 @@ from quillspark.llm import decontaminate, langid, mixing, sharding, simhash
 from quillspark.llm.common import cut, small, table
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id and text give one of ``keys(row_key)``; few keys are broadcast, many are joined by shuffle."""
-    gone = small(cut(keys.select(F.col("row_key").alias("__gone")).distinct()))
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("__gone"), "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows that have the id and the hash of id and text of one of ``rows(doc_id, row_key)``; few are broadcast, many are joined by shuffle."""
+    gone = small(cut(rows.select(F.col("row_key").alias("__gone"), F.col("doc_id").alias("__id")).distinct()))
+    same = (F.xxhash64("doc_id", "text") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # of each group the least id, and of rows that share that id one key
     leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("stays"), F.count("*").alias("rows"))
     leaders = cut(leaders)
-    gone = found.join(leaders.select(F.col("stays").alias("row_key")), "row_key", "left_anti")
-    kept = _without(docs, gone)
+    kept = _without(docs, found.join(leaders.select("component", F.col("stays").alias("row_key")), ["component", "row_key"], "left_anti"))
     if leaders.where("rows > 1").isEmpty():
         return kept
     again = small(cut(leaders.where("rows > 1").select(F.col("stays").alias("__again"))))
