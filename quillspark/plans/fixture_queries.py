@@ -387,3 +387,32 @@ _FX_PHOTOS = Fixture("doc_id int, photo_id int, digest string, width int, height
 @register("portraits", Fixture("doc_id int, photo_id int", ((1, 5),)).sql())
 def portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.best_photo(_FX_PHOTOS.frame(spark))
+
+
+@register("invariants", "select cast(null as varchar) as rule, cast(null as bigint) as doc_id where false")
+def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaches of what must hold of structured documents: there are none."""
+    from . import invariants as rules
+    from . import structure
+
+    docs = _FX_CV.frame(spark)
+    return rules.breaches(structure.structured(docs), docs)
+
+
+_FX_BROKEN = Fixture(_ITEM, (
+    (1, 0, "full_name", "value", "Example University", "Example University", 0.8, "approved"),
+    (1, 1, "email", "value", "nobody", "nobody", 0.9, "approved"),
+    (1, 2, "awards", "", "", "2010 - 2012", 0.8, "approved"),
+    (1, 3, "profiles_links", "platform|url", "GitHub|github.com/rin", "github.com/rin", 0.9, "approved"),
+    (1, 4, "qualifications", "degree|year", "MSc|2001", "Diploma 2002", 0.8, "approved"),
+    (1, 5, "awards", "", "", "Example University", 0.8, "approved"),
+    (1, 6, "previous_employment", "title|start_date", "|2010", "2010 onwards", 0.8, "approved"),
+))
+_FX_BROKEN_DOCS = Fixture("doc_id int, text string", ((1, "Example University nobody 2010 - 2012 github.com/rin Diploma 2002 2010 onwards"), (2, "only text")))
+
+
+@register("invariant_breaches", Fixture("rule string, doc_id int", (("name", 1), ("email", 1), ("date only", 1), ("link", 1), ("degree", 1), ("year", 1), ("name echo", 1), ("employment of dates", 1), ("items", 2), ("no email", 2))).sql())
+def invariant_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import invariants as rules
+
+    return rules.breaches(_items(spark, _FX_BROKEN), _FX_BROKEN_DOCS.frame(spark))
