@@ -12,7 +12,7 @@ from ..functions import text as T
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line) of every line that isn't blank; breaks as Unicode has them."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.col(text), r"\R")).alias("line_no", "line"))
-    return rows.where(T.strip(F.col("line")) != "")
+    return rows.withColumn("line_no", F.col("line_no").cast("long")).where(T.strip(F.col("line")) != "")
 
 
 def uncovered(lines: DataFrame, items: DataFrame, cap: int = vocab.REPORT_CAP) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as T
-from ..operators import advice, commands, enrich, fields, grouping, headings, lines, render, review, rewrites, routing
+from ..operators import advice, commands, enrich, fields, grouping, headings, lines, render, review, rewrites, routing, zones
+from ..sources import files
 from .tables import Fixture
 
 HEADINGS = ["EDUCATION", "Selected Awards 2019-2021", "ACADAMIC QUALIFCATIONS", "RESEARCH GRANTS, FUNDING AND CONSULTANCY PROJECTS:", "I like awards and books.", "SUMMARY OF MY LIFE", "MY BEST JOURNAL ARTICLES EVER", "CAREER DETAILS — PRESENT EMPLOYMENT", "Hello world", "TEACHING AND LEARNING", "Key Skills", "SITE VISITS"]
@@ -254,7 +255,7 @@ def structured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FX_SAID = Fixture("doc_id long, item_ord int, section string, value string, raw_text string", ((1, 0, "full_name", "RIN EXAMPLE", "RIN EXAMPLE"), (1, 1, "email", "rin.example@uni.example", "rin.example@uni.example | +10 55 555 0100"), (1, 2, "qualifications", "", "Master of Science in Statistics, North College, Canada (2012)"), (1, 3, "job_title", "Senior Lecturer in Data Systems", "Senior Lecturer in Data Systems")))
 
 
-@register("unmapped_lines", Fixture("line_no int, value string, context string", (
+@register("unmapped_lines", Fixture("line_no long, value string, context string", (
     (6, "• Bachelor of Arts in History, South University, Canada (2009)", "EDUCATION"),
     (9, "Lecturer, East Institute, 2012 - 2016", "WORK EXPERIENCE"),
     (10, "Senior Lecturer, West Academy, 2017 - Present", "WORK EXPERIENCE"),
@@ -416,3 +417,48 @@ def invariant_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import invariants as rules
 
     return rules.breaches(_items(spark, _FX_BROKEN), _FX_BROKEN_DOCS.frame(spark))
+
+
+_FX_ZONES = Fixture("doc_id int, section string, line_no int, line string", tuple((1, "previous_employment", i, x) for i, x in enumerate(["Lecturer, East, 2010 - 2012", "Keynote Speeches", "On bridges, Quito", "Delta Works, 2013 - 2015", "Senior Analyst", "Led a team"])))
+
+
+@register("practice_zones", Fixture("line_no int, zone string", ((0, "employment"), (1, "knowledge_exchange"), (2, "knowledge_exchange"), (3, "employment"), (4, "employment"), (5, "employment"))).sql())
+def practice_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.zones(_FX_ZONES.frame(spark)).select("line_no", "zone")
+
+
+_FX_PAIRS = Fixture("doc_id int, section string, item_no int, text string", ((1, "_generic_employment", 1, "Senior Analyst"), (1, "_generic_employment", 2, "Delta Works, Quito, EC (2015 - Present"), (1, "_generic_employment", 3, "Led a team of ten"), (1, "_generic_employment", 4, "Tutor"), (1, "_generic_employment", 5, "East, Lima, PE 2010 - 2012"), (1, "_generic_employment", 6, "Marked papers")))
+
+
+@register("paired_entries", Fixture("item_no int, title string, employer string, start_date string, end_date string, target string", (
+    (1, "Senior Analyst", "Delta Works", "2015", "", "present_employment"), (3, None, None, None, None, "present_employment"),
+    (4, "Tutor", "East", "2010", "2012", "previous_employment"), (6, None, None, None, None, "previous_employment"),
+)).sql())
+def paired_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.inherited(zones.paired(_FX_PAIRS.frame(spark))).select("item_no", "title", "employer", "start_date", "end_date", "target")
+
+
+_FX_PAPERS = Fixture("doc_id int, section string, item_no int, text string", tuple((1, "publications", i, x) for i, x in enumerate(["An early paper, 2001", "JOURNAL ARTICLES", "A paper, 2010", "CONFERENCE PAPERS", "A talk, 2012"])))
+
+
+@register("publication_groups", Fixture("item_no int, subgroup string", ((0, None), (2, "journal"), (4, "conference"))).sql())
+def publication_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.subgroups(_FX_PAPERS.frame(spark)).select("item_no", "subgroup")
+
+
+_FX_FILES = Fixture("path string, length long", (("/in/a.DOCX", 5), ("/in/b.docx", 0), ("/in/c.pdf", 27262976), ("/in/d.txt", 5)))
+
+
+@register("upload_guard", Fixture("path string, error string", (("/in/a.DOCX", None), ("/in/b.docx", "empty file"), ("/in/c.pdf", "too large"), ("/in/d.txt", "unsupported type"))).sql())
+def upload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.guarded(_FX_FILES.frame(spark)).select("path", "error")
+
+
+_FX_EDITS = Fixture("doc_id int, item_ord long, new_value string, new_section string, new_status string", ((1, 0, "New name", None, None), (1, 4, None, "skills", None), (1, 2, None, None, "rejected")))
+
+
+@register("patched_items", Fixture("item_ord long, section string, value string, status string", ((0, "full_name", "New name", "edited"), (1, "awards", None, "pending_review"), (2, "skills", None, "rejected"), (3, "awards", None, "pending_review"), (4, "skills", None, "edited"))).sql())
+def patched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = _FX_EDITS.frame(spark).select("doc_id", "item_ord", F.when(F.col("new_value").isNotNull(), F.create_map(F.lit("value"), F.col("new_value"))).alias("new_fields"), "new_section", "new_status")
+    found = commands.patch(_items(spark, _FX_REWRITE).where("doc_id = 1"), edits)
+    return found.select("item_ord", "section", F.col("fields")["value"].alias("value"), "status")

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import fields, grouping, headings, letterhead, lines, reconcile, review, rewrites, routing
+from ..operators import fields, grouping, headings, letterhead, lines, reconcile, review, rewrites, routing, zones
 from .stage import staged
 
-#: Confidence of items by how their section was known.
-CONFIDENCE = {"_generic_employment": 0.65, "grants": 0.75}
-PUBLICATION_RULES = [("upcoming|forthcoming|in preparation|submitted", "forthcoming"), ("conference|presentation|symposium|panel", "conference"), ("blog|media|report|online|industry|government", "industry_government"), ("journal|peer-review|peer review", "journal"), ("book chapter|chapters|books", "book_chapter")]
+JOBS = ["_generic_employment", "present_employment", "previous_employment"]
+PAIRED = ["title", "employer", "start_date", "end_date", "is_current"]
 
 
 def _map(**pairs: Column) -> Column:
@@ -30,25 +29,30 @@ def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int =
     raw = lines.header_footer(reconcile.split_lines(docs.where("text is not null")))
     furniture = lines.repeated_lines(raw.where("not is_header_footer"))
     body = staged(lines.without_furniture(raw.where("not is_header_footer"), furniture).select("doc_id", "line_no", "line"))
-    parts = headings.split_glued(body.withColumn("line", lines.collapse_spaced(F.col("line"))))
+    cut = lines.split_caps_runs(body.withColumn("line", lines.collapse_spaced(F.col("line"))))
+    parts = headings.split_glued(cut.select("doc_id", (F.col("line_no") * 100 + F.col("piece")).alias("line_no"), "line"))
     known = staged(headings.authoritative(headings.resolve(parts, taught=taught)))
     placed = headings.assign_sections(known)
     officially = placed.where("is_heading").groupBy("doc_id", "section").agg(F.max("authoritative").alias("authoritative"))
     content = staged(placed.where(F.col("section").isNotNull() & (F.col("section") != "_ignored")).withColumn("is_break", F.col("is_heading") | T.junk(F.col("line")) | T.bare_contact(F.col("line"))))
-    grouped = staged(grouping.group_items(content.select("doc_id", "section", (F.col("line_no") * 100 + F.col("part")).alias("line_no"), "line", "is_break")))
-    typed = staged(fields.qualification(staged(fields.employment(grouped, as_of_year=as_of_year))))
-    section, job = F.col("section"), F.col("section").isin("_generic_employment", "present_employment", "previous_employment")
-    target = F.when(section == "_generic_employment", F.when(F.col("is_current"), "present_employment").otherwise("previous_employment")).otherwise(section)
-    typed = typed.withColumn("target", target)
+    zoned = zones.zones(content)
+    practice = (F.col("zone") == "knowledge_exchange") & F.col("section").isin(JOBS)
+    zoned = zoned.withColumns({"section": F.when(practice, "_practice").otherwise(F.col("section")), "is_break": F.col("is_break") | (practice & T.strip(F.col("line")).rlike(zones.PRACTICE))})
+    grouped = staged(grouping.group_items(zoned.select("doc_id", "section", (F.col("line_no") * 100 + F.col("part")).alias("line_no"), "line", "is_break")))
+    pairs = zones.paired(zones.subgroups(grouped)).withColumnsRenamed({c: f"p_{c}" for c in PAIRED})
+    typed = staged(fields.qualification(staged(fields.employment(pairs, as_of_year=as_of_year))))
+    typed = typed.withColumns({c: F.when(F.col("p_title").isNotNull(), F.col(f"p_{c}")).otherwise(F.col(c)) for c in PAIRED})
+    typed = zones.inherited(typed).withColumn("target", F.when(F.col("section") == "_practice", "knowledge_exchange").otherwise(F.col("target")))
+    section, job = F.col("section"), F.col("section").isin(JOBS)
     present = F.col("target") == "present_employment"
     parsed = (
         F.when(job & F.col("start_date").isNotNull(), _map(title=F.col("title"), unit=F.when(present, F.col("employer")), employer=F.when(~present, F.col("employer")), start_date=F.col("start_date"), end_date=F.col("end_date"), is_current=F.when(F.col("is_current"), "true"), _line_override=F.col("line_override")))
         .when((section == "qualifications") & (F.char_length("text") > 40), _map(degree=F.col("degree"), subject=F.col("subject"), institution=F.col("institution"), country=F.col("country"), year=F.col("year")))
-        .when(section == "publications", _map(subgroup=T.first_match(F.col("text"), [(f"(?:{p})", v) for p, v in PUBLICATION_RULES])))
+        .when(section == "publications", _map(subgroup=F.col("subgroup")))
         .when(section.isin("associations", "editorial_roles"), _map(kind=T.role_kind(F.col("text"))))
         .otherwise(F.create_map().cast("map<string,string>"))
     )
-    level = F.when(section == "_generic_employment", 0.65).when(section == "grants", 0.75).when((section == "qualifications") & (F.char_length("text") <= 40), 0.7).otherwise(0.8)
+    level = F.when(section == "_practice", 0.6).when(section == "_generic_employment", 0.65).when(section == "grants", 0.75).when((section == "qualifications") & (F.char_length("text") <= 40), 0.7).otherwise(0.8)
     none = F.array().cast("array<string>")
     items = typed.join(officially, ["doc_id", "section"], "left").select("doc_id", F.col("first_line").alias("item_ord"), F.col("target").alias("section"), parsed.alias("fields"), F.col("text").alias("raw_text"), level.alias("confidence"), none.alias("flags"), F.lit("pending_review").alias("status"), none.alias("actions"), "authoritative")
     items = items.where((F.col("section") != "biography") | T.prose(F.col("raw_text")))

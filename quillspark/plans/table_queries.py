@@ -9,7 +9,8 @@ from .. import vocab
 from ..catalog import register
 from ..functions import text as T
 from ..operators import lines as L
-from ..operators import reconcile, review, routing
+from ..operators import commands, reconcile, review, routing
+from ..streaming import audit
 from .tables import document_lines, score_items, table
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)"
@@ -267,3 +268,15 @@ def page_font_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     body = part.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.max_by("p_size", F.struct("n", -F.col("p_size"))).alias("body"))
     return part.join(body, "p_brand").where(F.col("p_size") >= 1.15 * F.col("body")).select("p_partkey", "p_size")
+
+
+@register("audit_counts", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and kind, by the plan that also runs on a stream."""
+    return audit.counts_by_window(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("bulk_status", f"with i as ({_SCORES}) select section, case when section = 'section2' and status = 'pending_review' and confidence >= 0.7 and confidence < 0.9 then 'rejected' else status end as status, count(*) as n from i group by 1, 2")
+def bulk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending items of one section and band rejected at once."""
+    return commands.bulk_status(score_items(spark, sf_dir), "rejected", "section2", "medium").groupBy("section", "status").agg(F.count("*").alias("n"))
