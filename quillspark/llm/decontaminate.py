@@ -25,7 +25,7 @@ SEGMENT_TOKENS = 1 << 18
 #: Bytes of benchmark text searched in one pass over the index; a larger benchmark takes more passes.
 PASS_BYTES = 8 << 20
 #: Places of the segment looked at in one step of an intersection.
-STEP = 1 << 20
+STEP = 1 << 18
 
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -191,7 +191,8 @@ def matches(segments: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> Da
     def run(asked: Windows, last: bool):
         def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for segment in b.to_pylist():
+                for nth in range(b.num_rows):  # one segment in memory at a time
+                    (segment,) = b.slice(nth, 1).to_pylist()
                     hit, exact, nearby = _search(segment, asked, slack)
                     if segment.get("marks") is not None:
                         hit |= np.unpackbits(np.frombuffer(segment["marks"], np.uint8), count=len(hit)).astype(bool)
