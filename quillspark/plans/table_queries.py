@@ -210,18 +210,25 @@ def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verbatim_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages that stand in documents word for word.
 
-    A passage is contained where its first eight words are: documents and passages meet on a hash of
-    eight words, so that no pair is compared without a reason; shorter passages meet on their first word.
+    A passage of three words or more is contained where its inner words are, six of them at most: documents and passages
+    meet on a hash of these, for each width that the passages have, so that no pair is compared without a reason.
+    A passage of fewer words has no inner word and is looked for in every document.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), T.squash(F.col("text")).alias("norm"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), T.squash(F.col("text")).alias("pnorm"))
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("passage"), T.squash(F.col("text")).alias("pnorm"))
     # inner words only: the first and last of a passage may be parts of longer words
-    width = 6
-    shingle = lambda words, at: F.array_join(F.slice(words, at, width), " ")
-    asked = items.withColumn("w", F.split("pnorm", " ")).where(F.size("w") >= width + 2).withColumn("key", F.xxhash64(shingle(F.col("w"), F.lit(2))))
-    offered = docs.withColumn("w", F.split("norm", " ")).where(F.size("w") >= width).select("doc_id", "whole", "norm", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(shingle(F.col("w"), i))))).alias("key"))
-    keys = offered.select("doc_id", "key").join(asked.select("item_id", "key", "pnorm", "passage"), "key")
-    met = keys.join(docs, "doc_id").where(F.contains("whole", F.col("passage")) | F.contains("norm", F.col("pnorm"))).select("item_id", "doc_id")
+    items = items.withColumn("w", F.split("pnorm", " ")).withColumn("width", F.least(F.size("w") - 2, F.lit(6)))
+    widths = {r["width"]: r["n"] for r in items.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    stands = F.contains("whole", F.col("passage")) | F.contains("norm", F.col("pnorm"))
+    asked = items.where("width > 0").withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("width")), " ")))
+    shingles = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))).otherwise(F.array().cast("array<bigint>"))
+    keys = F.concat(F.array().cast("array<bigint>"), *[shingles(k) for k in sorted(widths) if k > 0])
+    offered = docs.withColumn("w", F.split("norm", " ")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+    met = offered.join(asked.select("item_id", "key", "pnorm", "passage"), "key").join(docs, "doc_id").where(stands).select("item_id", "doc_id")
+    few = sum(n for k, n in widths.items() if k <= 0)
+    if few:
+        short = items.where("width <= 0").select("item_id", "pnorm", "passage")
+        met = met.unionByName(docs.join(F.broadcast(short) if few <= 200_000 else short, stands).select("item_id", "doc_id"))
     return met.distinct()
 
 
