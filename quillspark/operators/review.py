@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,15 +54,15 @@ def overlap_flags(items: DataFrame) -> DataFrame:
     return joined.withColumn("flags", merged_flags(F.col("flags"), F.array("more"))).select(*items.columns)
 
 
-def citation_key(citation: Column) -> Column:
+def citation_key(citation: Column, lower: Callable[[Column], Column] = F.lower) -> Column:
     """The first 120 characters by which citations are compared; null if empty."""
-    return F.nullif(F.substring(T.squash(F.lower(F.coalesce(citation, F.lit("")))), 1, 120), F.lit(""))
+    return F.nullif(F.substring(T.squash(lower(F.coalesce(citation, F.lit("")))), 1, 120), F.lit(""))
 
 
-def duplicate_flags(items: DataFrame, by_source: bool = False) -> DataFrame:
+def duplicate_flags(items: DataFrame, by_source: bool = False, lower: Callable[[Column], Column] = F.lower) -> DataFrame:
     """Flags publications of a document whose citations agree. With ``by_source``, items without a citation go by their source text."""
     citation = F.coalesce(F.col("fields")["citation"], F.col("raw_text")) if by_source else F.col("fields")["citation"]
-    key = F.when(F.col("section") == "publications", citation_key(citation))
+    key = F.when(F.col("section") == "publications", citation_key(citation, lower))
     keyed = items.withColumn("__key", key)
     n = F.count("__key").over(Window.partitionBy("doc_id", "__key"))
     flagged = keyed.withColumn("flags", merged_flags(F.col("flags"), F.array(F.when(F.col("__key").isNotNull() & (n > 1), "possible_duplicate_publication"))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -16,6 +18,8 @@ from .tables import document_lines, score_items, table
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)"
 _STRIP = r"regexp_replace({0}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 _SQUASH = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOLD = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
 _PHONE = r"\(?[ \t\n\x0B\f\r]*\+?[ \t\n\x0B\f\r]*\(?[0-9][0-9 \t\n\x0B\f\r().\-]{7,}[0-9]\)?"
 
 
@@ -156,11 +160,21 @@ def overlapping_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("duplicate_citations", f"with d as (select doc_id, source, nullif(substr({_squash('lower(text)')}, 1, 120), '') as key from documents where lang = 'en') select doc_id from d where key is not null qualify count(*) over (partition by source, key) > 1")
 def duplicate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source whose first 120 characters agree, by the operator that flags duplicate publications."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """English documents of a source whose first 120 characters agree; ``duplicate_citations_all`` has those of all documents."""
+    return _duplicates(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+@register("duplicate_citations_all", f"with d as (select doc_id, source, nullif(substr({_squash(_FOLD)}, 1, 120), '') as key from documents) select doc_id from d where key is not null qualify count(*) over (partition by source, key) > 1")
+def duplicate_citations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source, in any language or none, whose first 120 characters agree; ASCII letters alone are folded, as other case rules differ."""
+    return _duplicates(table(spark, sf_dir, "documents"), lambda c: F.translate(c, _UPPER, _UPPER.lower()))
+
+
+def _duplicates(docs: DataFrame, lower: Callable[[Column], Column] = F.lower) -> DataFrame:
+    """Documents of a source that agree, by the operator that flags duplicate publications."""
     none = F.array().cast("array<string>")
     items = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("item_ord"), F.lit("publications").alias("section"), F.create_map(F.lit("citation"), F.col("text")).alias("fields"), F.lit("").alias("raw_text"), none.alias("flags"))
-    return review.duplicate_flags(items).where(F.array_contains("flags", "possible_duplicate_publication")).select(F.col("item_ord").alias("doc_id"))
+    return review.duplicate_flags(items, lower=lower).where(F.array_contains("flags", "possible_duplicate_publication")).select(F.col("item_ord").alias("doc_id"))
 
 
 _CATALOGUE = "(select unnest(['section1', 'section2', 'section3', 'section4', 'section5', 'section6', 'unmapped', 'skills']) as section)"

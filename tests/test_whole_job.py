@@ -5,7 +5,7 @@ import pandas as pd
 
 from quillspark import catalog
 
-from .compare import plain, rows
+from .compare import DATA, plain, rows
 
 
 def held_to_sql(spark, folder, name, **tables):
@@ -31,3 +31,19 @@ def test_short_passages_are_guarded(spark, tmp_path):
 def test_short_passages_alone(spark, tmp_path):
     got = held_to_sql(spark, tmp_path, "verbatim_guard", documents=pd.DataFrame({"doc_id": [1, 2], "text": ["a b c d", "b"]}), benchmark=pd.DataFrame({"item_id": [1, 2], "text": ["a b", "c"]}))
     assert len(got) == 2
+
+
+def test_duplicates_of_every_language_are_found(spark, tmp_path):
+    rows_ = [(1, "Ein  Satz", "de", "a"), (2, "ein satz", None, "a"), (3, "EIN\nSATZ", "en", "a"), (4, "ein satz", "de", "b"), (5, "Éin", "fr", "a"), (6, "éin", "fr", "a"), (7, "x" * 120 + "y", "es", None), (8, "X" * 120 + "z", "es", None), (9, "", "de", "a"), (10, None, "de", "a"), (11, " ", None, "a")]
+    got = held_to_sql(spark, tmp_path, "duplicate_citations_all", documents=pd.DataFrame(rows_, columns=["doc_id", "text", "lang", "source"]))
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 7, 8}
+
+
+def test_duplicates_of_the_whole_table(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    texts = pd.read_parquet(f"{folder}/documents.parquet")
+    ascii_ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = [" ".join((t or "").translate(ascii_).split())[:120] for t in texts.text]
+    texts["n"] = texts.assign(key=key).groupby(["source", "key"], dropna=False).doc_id.transform("size")
+    got = {r["doc_id"] for r in catalog.queries()["duplicate_citations_all"](spark, folder).collect()}
+    assert got == set(texts[(texts.n > 1) & pd.Series([k != "" for k in key])].doc_id) and got - set(texts[texts.lang == "en"].doc_id)
