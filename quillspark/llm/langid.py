@@ -21,8 +21,9 @@ CENTROIDS = 4
 FIT_ROWS = 600
 #: A text is rejected if its cosine to the nearest centroid is below this share of the low quantile in the fit.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
-#: The distance of a text of fewer n-grams tells too little to reject it.
+#: Whole texts of so many n-grams set the least cosine from there on; below, excerpts of these lengths do, and lengths between go by the logarithm.
 REJECT_GRAMS = 200
+EXCERPTS = (1, 2, 4, 8, 16, 32, 64, 128)
 UNKNOWN = "und"
 
 #: ASCII letters in lower case and bytes of other characters stay; the rest is a space.
@@ -34,13 +35,19 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
+def folded_bytes(text: str | None) -> bytes:
+    """Letters alone, runs of others as one space; what trigrams are taken from."""
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split()) + b" " if text else b""
+
+
 def counts(texts: list[str | None]) -> np.ndarray:
-    """Hashed counts of the byte trigrams of each whole text, letters alone, runs of others as one space."""
+    """Hashed counts of the byte trigrams of each whole text."""
+    return trigrams([folded_bytes(t) for t in texts])
+
+
+def trigrams(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), np.float32)
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        folded = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split()) + b" "
+    for k, folded in enumerate(texts):
         for at in range(0, len(folded), 1 << 20):  # an n-gram that begins in a piece is counted there
             b = np.frombuffer(folded[at : at + (1 << 20) + 2], np.uint8).astype(np.uint32)
             if len(b) > 2:
@@ -56,25 +63,26 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids (unit rows), the language of each, the IDF of each dimension and the least cosine that isn't rejected."""
+    """Centroids (unit rows), the language of each, the IDF of each dimension and the least cosine that isn't rejected, by n-grams in ascending order."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
-    least: float
+    grams: np.ndarray
+    least: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
         """Language, cosine in [0, 1] and whether it is rejected. Without a letter, or without a model: und, 0, rejected."""
         if not len(self.centroids):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), [True] * len(texts)
         x = counts(texts)
-        telling = x.sum(axis=1) >= REJECT_GRAMS
+        least = np.interp(np.log(np.maximum(x.sum(axis=1, dtype=np.float64), 1)), np.log(self.grams), self.least)
         cosine = unit(x * self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         known = np.array([has_letter(t) for t in texts], bool)
         score[~known] = 0
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, ((telling & (score < self.least)) | ~known).tolist()
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, ((score < least) | ~known).tolist()
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -100,13 +108,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Mo
     """A model of the labelled, learnable rows of ``docs(doc_id, text, lang)``.
 
     About ``rows`` rows a language, drawn by a hash of the id, go to one vector each where they
-    lie; only these bounded vectors, as sparse counts, reach the driver. Languages are the
+    lie; only these bounded vectors, as sparse counts, and two excerpts of each reach the driver. Languages are the
     values of ``lang``; no labelled rows give an empty model.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("text").alias("body"))
     totals = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count("*").alias("n")).collect()}
     if not totals:
-        return Model(np.ones(DIMS, np.float32), np.empty((0, DIMS), np.float32), [], 0.0)
+        return Model(np.ones(DIMS, np.float32), np.empty((0, DIMS), np.float32), [], np.ones(1), np.zeros(1))
     shares = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, rows / n))])
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(shares, F.col("language")) * float(1 << 30))
 
@@ -114,32 +122,41 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Mo
         for b in batches:
             texts = b.column("body").to_pylist()
             keep = [k for k, t in enumerate(texts) if has_letter(t)]
-            x = counts([texts[k] for k in keep])
+            folded = [folded_bytes(texts[k]) for k in keep]
+            x = trigrams(folded)
+            most = EXCERPTS[-1] + 2
             at = [np.flatnonzero(v) for v in x]
             yield pa.RecordBatch.from_arrays(
-                [b.column("language").take(pa.array(keep, pa.int32())), b.column("id").take(pa.array(keep, pa.int32())).cast(pa.int64()), pa.array([a.astype(np.int16).tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary())],
-                ["language", "id", "at", "n"],
+                [b.column("language").take(pa.array(keep, pa.int32())), b.column("id").take(pa.array(keep, pa.int32())).cast(pa.int64()), pa.array([a.astype(np.int16).tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary()), pa.array([f[:most] for f in folded], pa.binary()), pa.array([f[len(f) // 2 :][:most] for f in folded], pa.binary())],
+                ["language", "id", "at", "n", "head", "middle"],
             )
 
-    got = sorted(map(tuple, drawn.mapInArrow(vectors, "language string, id long, at binary, n binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2]), bytes(r[3])))
+    got = sorted(map(tuple, drawn.mapInArrow(vectors, "language string, id long, at binary, n binary, head binary, middle binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2]), bytes(r[3])))
     x = np.zeros((len(got), DIMS), np.float32)
-    for k, (_, _, at, n) in enumerate(got):
+    for k, (_, _, at, n, _, _) in enumerate(got):
         x[k, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.float32)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     telling = x.sum(axis=1) >= REJECT_GRAMS
     x, own = unit(x * idf), np.array([r[0] for r in got])
     parts = [(lang, clusters(x[own == lang], centroids)) for lang in sorted(set(own.tolist()))]
     if not parts:
-        return Model(idf, np.empty((0, DIMS), np.float32), [], 0.0)
+        return Model(idf, np.empty((0, DIMS), np.float32), [], np.ones(1), np.zeros(1))
     c = np.vstack([p for _, p in parts])
-    least = float(np.quantile((x[telling] @ c.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SHARE if telling.any() else 0.0
-    return Model(idf, c, [lang for lang, p in parts for _ in p], least)
+    low = lambda v: float(np.quantile((v @ c.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SHARE
+    excerpts = [bytes(t) for r in got for t in (r[4], r[5])]
+    known = [(k, low(unit(trigrams(cut) * idf))) for k in EXCERPTS if (cut := [t[: k + 2] for t in excerpts if len(t) >= k + 2])]
+    if telling.any():
+        least = low(x[telling])
+        known = [*((k, min(v, least)) for k, v in known), (REJECT_GRAMS, least)]
+    grams, least = map(np.array, zip(*known, strict=True))
+    return Model(idf, c, [lang for lang, p in parts for _ in p], grams, least)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, row_key, lang_pred, score, rejected) of every row; the text alone decides.
 
-    Null texts and texts without a letter are ``und`` with score 0 and rejected; long texts count
+    Null texts and texts without a letter are ``und`` with score 0 and rejected; short texts are judged
+    by a looser bound, as excerpts of their length in the fit set it; long texts count
     whole; ties go to the first language by name; an empty table gives no rows. The model is
     bounded (centroids by dimensions), so it may go with the tasks.
     """
