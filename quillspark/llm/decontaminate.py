@@ -93,7 +93,7 @@ def windows(items: list[tuple], width: int = WINDOW) -> Windows:
     for item, text in items:
         w = tuple(number[x] for x in words(text))
         for at in range(max(len(w) - width, 0) + 1 if w else 0):
-            found[w[at : at + width]].add(str(item))
+            found[w[at : at + width]].update(() if item is None else (str(item),))
     return Windows(list(number), list(found), [sorted(x) for x in found.values()])
 
 
@@ -179,13 +179,14 @@ STATE = ", marks binary, found array<struct<d: int, item: string, near: boolean>
 MATCHES = "doc_id long, row_key long, n_words long, n_hit long, items array<string>, near_items array<string>"
 
 
-def matches(segments: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> DataFrame:
+def matches(segments: DataFrame, benchmark: DataFrame, slack: int = SLACK, unnamed: bool = False) -> DataFrame:
     """(doc_id, row_key, n_words, n_hit, items, near_items) of every document of an index.
 
     items are those with a window that occurs exactly, near_items those with one whose words
     all stand within ``slack`` places of where they should (exact ones included). A benchmark
     of more than PASS_BYTES is searched in blocks, one after the other over the stored index;
     marks and items go on with each segment, so that none is missed or counted twice.
+    With ``unnamed``, windows of rows with a null id mark their words too, without an item.
     """
 
     def run(asked: Windows, last: bool):
@@ -209,10 +210,10 @@ def matches(segments: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> Da
 
         return searched
 
-    blocks = _blocks(benchmark)
+    blocks = _blocks(benchmark, unnamed)
     for k in range(blocks):
         last = k == blocks - 1
-        segments = segments.mapInArrow(run(_asked(benchmark, blocks, k), last), MATCHES if last else SEGMENT + STATE)
+        segments = segments.mapInArrow(run(_asked(benchmark, blocks, k, unnamed), last), MATCHES if last else SEGMENT + STATE)
         segments = segments if last else cut(segments)
     return segments
 
@@ -238,30 +239,30 @@ def _rows(segment: dict, hit: np.ndarray, exact: dict, nearby: dict) -> pa.Recor
     )
 
 
-def _sized(benchmark: DataFrame) -> DataFrame:
-    return benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+def _sized(benchmark: DataFrame, unnamed: bool) -> DataFrame:
+    return benchmark.where("text is not null" if unnamed else "text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
 
 
-def _blocks(benchmark: DataFrame) -> int:
-    total = _sized(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _blocks(benchmark: DataFrame, unnamed: bool) -> int:
+    total = _sized(benchmark, unnamed).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return -(-total // PASS_BYTES) or 1
 
 
-def _asked(benchmark: DataFrame, blocks: int, k: int) -> Windows:
+def _asked(benchmark: DataFrame, blocks: int, k: int, unnamed: bool) -> Windows:
     """The windows of one of ``blocks`` blocks: about PASS_BYTES of text, as the total was counted first."""
-    own = _sized(benchmark)
+    own = _sized(benchmark, unnamed)
     own = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else own
     return windows([(r["item"], bytes(r["text"])) for r in own.collect()])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, unnamed: bool = False) -> DataFrame:
     """``matches`` of documents against a benchmark, with ``contaminated``.
 
     Null and empty texts have no words and are never contaminated; items that are null, empty
-    or have a null id ask for nothing; items that share an id count as one; repeated rows are
+    or, unless ``unnamed``, have a null id ask for nothing; items that share an id count as one; repeated rows are
     each judged alike; empty tables give no rows or no hits. Other columns are not looked at.
     """
-    found = matches(cut(index(docs)), benchmark)
+    found = matches(cut(index(docs)), benchmark, unnamed=unnamed)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
