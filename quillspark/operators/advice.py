@@ -53,7 +53,7 @@ def covers(original: Column, segments: Column) -> Column:
         at = F.position(said, acc["left"])
         skipped = F.substring(acc["left"], F.lit(1), at - 1)
         fine = acc["ok"] & (said != "") & (at > 0) & ~skipped.rlike(r"[\p{L}\p{N}]")
-        return F.struct(F.when(fine, F.substring(acc["left"], at + F.char_length(said), F.lit(1 << 20))).otherwise(acc["left"]).alias("left"), fine.alias("ok"))
+        return F.struct(F.when(fine, F.substring(acc["left"], at + F.char_length(said), F.char_length(acc["left"]))).otherwise(acc["left"]).alias("left"), fine.alias("ok"))
 
     end = F.aggregate(segments, start, step)
     return (F.size(segments) >= 2) & F.coalesce(end["ok"] & ~end["left"].rlike(r"[\p{L}\p{N}]"), F.lit(False))

@@ -47,3 +47,24 @@ def test_duplicates_of_the_whole_table(spark):
     texts["n"] = texts.assign(key=key).groupby(["source", "key"], dropna=False).doc_id.transform("size")
     got = {r["doc_id"] for r in catalog.queries()["duplicate_citations_all"](spark, folder).collect()}
     assert got == set(texts[(texts.n > 1) & pd.Series([k != "" for k in key])].doc_id) and got - set(texts[texts.lang == "en"].doc_id)
+
+
+def test_long_texts_are_covered_whole(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import advice
+
+    gap = "." * (1 << 20)
+    df = spark.createDataFrame([(f"a b {gap} left",), (f"a b {gap}",)], "t string")
+    assert [r[0] for r in df.select(advice.covers(F.col("t"), F.array(F.lit("a"), F.lit("b")))).collect()] == [False, True]
+
+
+def test_long_parts_of_an_entry_are_kept(spark):
+    from quillspark.operators import fields
+
+    name = "of " + "x" * 1500
+    bars = " | ".join(f"p{i}" for i in range(1200))
+    df = spark.createDataFrame([(1, f"2010 - 2014 Manager {name}"), (2, f"{bars} 2010 - 2014")], "i int, text string")
+    got = {r["i"]: r for r in fields.employment(df).collect()}
+    assert name in (got[1]["title"] or "") + " " + (got[1]["employer"] or "")
+    assert got[2]["employer"].endswith("p1199")
