@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, small, spread_join, table
 from .components import connected_components
 
 WORDS = 4
@@ -133,14 +133,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, own, fp) sorted by key: the members of each key compared, as links from a member to the least one joined with it.
+    """Rows (anchor, pair, own, fp) sorted by anchor and pair: the members of each compared, as links from a member to the least one joined with it.
 
     own marks the two pieces of a dealt-out anchor (0 and 1; 2 for a piece against itself and for plain anchors).
-    Rows of the last key of a batch wait for the next batch; keys of one member are skipped.
+    Rows of the last group of a batch wait for the next batch; groups of one member are skipped.
     """
 
-    def linked(key: np.ndarray, own: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    def linked(bounds: np.ndarray, own: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         sizes, us, vs = np.diff(bounds), [], []
         two = bounds[:-1][sizes == 2]  # most that have company have one neighbour: all at once
         a, b = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
@@ -161,18 +160,19 @@ def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             vs.append(fp[s:e][root[moved]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    rest = [np.empty(0, np.int64)] * 3
+    rest = [np.empty(0, np.int64)] * 4
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "own", "fp")]
-        key, own, fp = (np.concatenate(x) for x in zip(rest, now, strict=True))
-        if not len(key):
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "pair", "own", "fp")]
+        anchor, pair, own, fp = (np.concatenate(x) for x in zip(rest, now, strict=True))
+        if not len(anchor):
             continue
-        last = int(np.searchsorted(key, key[-1]))  # sorted within the partition
-        rest = [key[last:], own[last:], fp[last:]]
+        begins = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (pair[1:] != pair[:-1])])
+        last = int(begins[-1])
+        rest = [anchor[last:], pair[last:], own[last:], fp[last:]]
         if last:
-            yield linked(key[:last], own[:last], fp[:last])
+            yield linked(begins, own[:last], fp[:last])
     if len(rest[0]):
-        yield linked(*rest)
+        yield linked(np.array([0, len(rest[0])]), rest[2], rest[3])
 
 
 def links(fps: DataFrame, most: int = BITS_APART, piece: int = PIECE) -> DataFrame:
@@ -190,12 +190,13 @@ def links(fps: DataFrame, most: int = BITS_APART, piece: int = PIECE) -> DataFra
     tagged = placed.join(heavy, "anchor", "left")
     pieces = F.ceil(F.col("n") / piece).cast("int")
     mine = F.pmod(F.xxhash64("fp"), pieces).cast("int")
-    # a piece meets every other one, itself included; the key names the anchor and the two, and is negative, as no anchor is
-    meets = F.when(F.col("n").isNull(), F.array(F.struct(F.col("anchor").alias("key"), F.lit(2).alias("own")))).otherwise(
-        F.transform(F.sequence(F.lit(0), pieces - 1), lambda x: F.struct(F.xxhash64(F.col("anchor"), F.least(x, mine), F.greatest(x, mine)).bitwiseOR(F.lit(-(1 << 63))).alias("key"), F.when(x == mine, 2).when(x > mine, 0).otherwise(1).alias("own")))
+    # a piece meets every other one, itself included; pair numbers the two, and is -1 for plain anchors
+    pair = lambda x: F.least(x, mine).cast("long") * pieces + F.greatest(x, mine)
+    meets = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(-1).cast("long").alias("pair"), F.lit(2).alias("own")))).otherwise(
+        F.transform(F.sequence(F.lit(0), pieces - 1), lambda x: F.struct(pair(x).alias("pair"), F.when(x == mine, 2).when(x > mine, 0).otherwise(1).alias("own")))
     )
-    dealt = tagged.select("fp", F.explode(meets).alias("m")).select("m.key", F.col("m.own").cast("long").alias("own"), "fp")
-    grouped = dealt.repartition("key").sortWithinPartitions("key")
+    dealt = tagged.select("anchor", "fp", F.explode(meets).alias("m")).select("anchor", "m.pair", F.col("m.own").cast("long").alias("own"), "fp")
+    grouped = dealt.repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
     return grouped.mapInArrow(lambda batches: _stars(batches, most), "u long, v long").distinct()
 
 
@@ -203,17 +204,17 @@ def near_duplicates(docs: DataFrame, most: int = BITS_APART, piece: int = PIECE)
     """(doc_id, row_key, fp, component, component_id) of every row of ``docs(doc_id, text)``.
 
     component names the group, component_id is the least id of the rows that links join. Null and empty texts have
-    fingerprint 0 and are linked like any other; rows with a null id take part, but give no
-    component its id (null if all of its ids are); repeated rows share all values; an empty
-    table gives no rows. Equal fingerprints are one node, however many rows have them.
+    fingerprint 0 and are linked like any other; very long texts are read whole, their shingles hashed in
+    pieces; rows with a null id take part, but give no component its id (null if all of its ids are);
+    repeated rows share all values; an empty table gives no rows; other columns are not looked at. Equal
+    fingerprints are one node, however many rows have them, and its rows are dealt out when they are named.
     """
     fps = cut(fingerprints(docs))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(nodes.select("fp"), most, piece))
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(ids, "component").select(F.col("fp").alias("__fp"), "component", "component_id"))
-    return fps.join(named, fps.fp == F.col("__fp")).drop("__fp")
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = connected_components(links(nodes.select("fp"), most, piece), nodes.select(F.col("fp").alias("node"), F.col("least").alias("id")))
+    alone = F.col("component").isNull()
+    named = nodes.join(found, nodes.fp == found.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return spread_join(fps, cut(named), "fp", "__fp", counts=nodes.select(F.col("fp").alias("k"), F.col("n").alias("c")))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

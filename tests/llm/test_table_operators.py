@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import components, decontaminate, embeddings, linedup, mixing, registry, sharding, simhash
+from quillspark.llm import common, components, decontaminate, embeddings, linedup, mixing, registry, sharding, simhash
 
 from ..compare import DATA, same
 
@@ -180,6 +180,30 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(chain.limit(0)).count() == 0
 
 
+def test_components_of_hubs_are_dealt_out(spark):
+    r = random.Random(8)
+    pairs = [(i, 0) for i in range(1, 60)] + [(100 + i, 100 + r.randint(0, i)) for i in range(50)] + [(30, 120)] + [(200 + i, 260) for i in range(30)]
+    ids = [(n, None if n >= 200 else n // 2 if n != 17 else -5) for n in {x for p in pairs for x in p}]
+    got = components.connected_components(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(ids, "node long, id long"), hot=3).collect()
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    comp = brute_components(sorted(linked), [p for p in pairs if p[0] != p[1]])
+    expected = {}
+    for n in linked:
+        own = [(i is None, i, k) for k, i in ids if k in linked and comp[k] == comp[n]]
+        expected[n] = min(own, key=lambda x: (x[0], x[1] or 0, x[2]))[1:]
+    assert {x["node"]: (x["component_id"], x["component"]) for x in got} == expected
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_of_hot_keys_lose_nothing(spark, how):
+    left = spark.createDataFrame([(i % 3 if i < 90 else 100 + i, i) for i in range(100)] + [(None, -1)], "k long, x long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in [0, 1, *range(190, 195)]], "to long, v string")
+    expected = sorted(((r["k"], r["x"], r["v"]) for r in left.join(right, left["k"] == right["to"], how).collect()), key=repr)
+    for hot in (5, 1000):
+        got = common.spread_join(left, right, "k", "to", how, hot=hot)
+        assert got.columns == ["k", "x", "v"] and sorted(map(tuple, got.collect()), key=repr) == expected
+
+
 # embeddings
 
 
