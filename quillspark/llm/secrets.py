@@ -26,8 +26,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB_WORDS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-KEY_BLOCK = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)")
+KEY_BLOCK = re.compile(rb"-----BEGIN ((?:[A-Z0-9]++ )*)PRIVATE KEY-----\s([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----")
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 #: Least lengths of the base kinds: of the value assigned, of the access key, of the run of hex digits.
@@ -96,6 +96,9 @@ def _holds(kind: str, m: re.Match) -> bool:
     return _der(m[2])
 
 
+#: What a token that fails to match is a part of: none that begins later in the same run can match either.
+RUNS = {"jwt": re.compile(rb"[A-Za-z0-9_-]++")}
+
 EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "jwt": JWT, "key_block": KEY_BLOCK}
 
 
@@ -116,6 +119,8 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton) -> list[tuple[int
             past[kind] = m.end()
             if _holds(kind, m):
                 found.append((at, KINDS.index(kind), m.end()))
+        elif kind in RUNS:
+            past[kind] = RUNS[kind].match(text, at).end()
     if b"\x01" * LEAST["hex"] in (digits := text.translate(_HEX)):
         found += [(m.start(), KINDS.index("hex"), m.end()) for m in _AT_BLOCK.finditer(digits)]
     found.sort()
