@@ -34,17 +34,20 @@ _OCTETS = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
 #: (kind, pattern) of the generators beyond the base patterns: written-out mail addresses, national
 #: phone numbers, numbers in groups of four inside longer runs, and IPv6 addresses.
 MORE = [
-    (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++"),
+    (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++"),
     (3, r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9])"),
     (2, r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{2,7}(?![0-9])"),
     (1, r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
 ]
+#: What a text must hold for a generator, base ones first, to find anything in it: a plain search that spares most texts the rest.
+NEEDS = ["@", None, None, "+", "dot", None, None, ":"]
 #: Characters before a span that give context.
 CONTEXT = 32
 #: Rows made up for the fit, and the share of selected candidates that must be true there.
 SAMPLES, PRECISION = 1800, 0.995
 
-_BLOCK = 512
+_BLOCK = 64
+_PICK = "struct<k: int, s: bigint, t: int, q: double, n: bigint, e: bigint, g: int, clash: boolean>"
 _SPAN = "array<struct<s: bigint, e: bigint, m: string, before: string, after: string>>"
 
 
@@ -53,6 +56,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def _blocks(rows: Column) -> Column:
+    """An array that isn't empty in pieces; it is computed once, not for each piece."""
+    return _let(rows, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / _BLOCK).cast("int")), lambda b: F.slice(r, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """The leftmost non-overlapping matches of a pattern, with code-point offsets and the text around.
 
@@ -64,8 +72,7 @@ def matches(text: Column, pattern: str) -> Column:
 
     def placed(found: Column) -> Column:
         def zipped(gaps: Column) -> Column:
-            rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n")))
-            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
+            blocks = _blocks(F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n"))))
             start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
 
             def step(acc: Column, r: Column) -> Column:
@@ -73,18 +80,21 @@ def matches(text: Column, pattern: str) -> Column:
                 e = s + F.char_length(r["m"])
                 return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), r["m"].alias("m"), F.right(r["g"], F.lit(CONTEXT)).alias("before"), F.left(r["n"], F.lit(1)).alias("after")))).alias("out"))
 
-            def join(acc: Column, block: Column) -> Column:
-                moved = F.transform(block["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
-                return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+            def shifted(folded: Column) -> Column:
+                ends = F.aggregate(folded, F.array(F.lit(0).cast("bigint")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+                return _let(ends, lambda at: F.flatten(F.transform(folded, lambda b, i: _moved(b["out"], F.get(at, i)))))
 
-            folded = F.transform(blocks, lambda b: F.aggregate(b, start, step))
-            return F.aggregate(folded, start, join)["out"]
+            return _let(F.transform(blocks, lambda b: F.aggregate(b, start, step)), shifted)
 
         return F.when(F.size(found) > 0, _let(F.split(text, pattern, -1), zipped)).otherwise(none)
 
     return F.coalesce(_let(hits, placed), none)
 
 
+def _moved(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -145,8 +155,13 @@ N_FEATURES = 14 + len(WORDS)
 
 
 def candidates(text: Column) -> Column:
-    """The matches of all generators with their number g and kind k: base patterns first, before their checks."""
-    each = [F.transform(matches(text, pattern), _tagged(g, kind)) for g, (kind, pattern) in enumerate([*enumerate(BASE), *MORE])]
+    """The matches of all generators with their number g and kind k: base patterns first, before their checks.
+
+    Each generator but those of mail and IPv6 addresses needs a digit."""
+    each = []
+    for g, (kind, pattern) in enumerate([*enumerate(BASE), *MORE]):
+        fits = F.contains(text, F.lit(NEEDS[g])) if NEEDS[g] else text.rlike("[0-9]")
+        each.append(F.transform(F.when(fits, matches(text, pattern)).otherwise(F.array().cast(_SPAN)), _tagged(g, kind)))
     return F.concat(*each)
 
 
@@ -219,17 +234,23 @@ _MODELS: dict[tuple[int, float], Model] = {}
 
 
 def fit(spark: SparkSession, n: int = SAMPLES, precision: float = PRECISION) -> Model:
-    """The trees and the threshold of each generator; fitted once a process, on ``n`` made-up sentences."""
+    """The trees and the threshold of each generator; fitted once a process, on ``n`` made-up sentences.
+
+    Thresholds are taken on as many sentences of another draw, which neither the trees nor their calibration saw.
+    """
     if (n, precision) in _MODELS:
         return _MODELS[n, precision]
-    said = F.from_json(F.lit(json.dumps([{"t": t, "k": k} for t, k in samples(n)])), "array<struct<t: string, k: int>>")
+    drawn = [*samples(n), *samples(n, seed=11)]
+    said = F.from_json(F.lit(json.dumps([{"t": t, "k": k} for t, k in drawn])), "array<struct<t: string, k: int>>")
     rows = spark.range(1).select(F.posexplode(said).alias("i", "x")).select("i", "x.t", "x.k")
     got = rows.select("i", "k", F.explode(F.transform(candidates(F.col("t")), _numbers)).alias("f")).collect()
     got = sorted((r["i"], tuple(r["f"]), int(r["f"][1] == r["k"])) for r in got)
-    x, y = [f for _, f, _ in got], [t for *_, t in got]
-    trees = boosting.fit(x, y)
-    own = [[i for i, f in enumerate(x) if f[0] == g] for g in range(len(BASE) + len(MORE))]
-    limits = [boosting.threshold(trees, [x[i] for i in rows_], [y[i] for i in rows_], precision) for rows_ in own]
+    learned, held = ([(f, t) for i, f, t in got if (i < n) == first] for first in (True, False))
+    trees = boosting.fit([f for f, _ in learned], [t for _, t in learned])
+    limits = []
+    for g in range(len(BASE) + len(MORE)):
+        own = [(f, t) for f, t in held if f[0] == g]
+        limits.append(boosting.threshold(trees, [f for f, _ in own], [t for _, t in own], precision))
     _MODELS[n, precision] = Model(trees, limits)
     return _MODELS[n, precision]
 
@@ -249,27 +270,72 @@ def _scored(found: Column, model: Model) -> Column:
     return F.filter(F.transform(found, one), lambda c: c["p"] >= F.get(least, c["g"]))
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["k"] == b["k"]) & (a["s"] < b["e"]) & (b["s"] < a["e"])
+def _folded(rows: Column, start: Column, step) -> Column:
+    """The state at the end of a fold over an array; the state's ``out`` is a list, kept in blocks so that a long one doesn't cost a square."""
+    none = start["out"]
+
+    def block(acc: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(acc["state"].alias("state"), none.alias("out")), step)
+        return F.struct(done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    begun = F.struct(start["state"].alias("state"), F.array(none).alias("out"))
+    return F.aggregate(_blocks(rows), begun, block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+
+def selected(base: Column, scored: Column) -> Column:
+    """The scored candidates (s, k, e, p) that overlap neither a base span of their kind nor a better candidate.
+
+    Spans are put in order of kind and start. A first fold, from the last to the first, marks candidates that reach
+    the base span after them; a second, from the first on, drops those and the ones that begin within a base span.
+    Of candidates that overlap, from left to right, the one with the higher probability stays, then the earlier,
+    then the longer: one that is open gives way to a better one. Both folds see each span once.
+    """
+    none = F.array().cast(f"array<{_PICK}>")
+    pick = lambda x, t: F.struct(x["k"].cast("int").alias("k"), x["s"].alias("s"), F.lit(t).alias("t"), (-x["p"] if t else F.lit(-2.0)).alias("q"), -x["e"].alias("n"), x["e"].alias("e"), (x["g"] if t else F.lit(-1)).cast("int").alias("g"), F.lit(False).alias("clash")).cast(_PICK)
+    spans = F.array_sort(F.concat(F.transform(base, lambda x: pick(x, 0)), F.transform(scored, lambda x: pick(x, 1))))
+
+    def back(acc: Column, x: Column) -> Column:
+        ahead = F.when(acc["state"]["k"] == x["k"], acc["state"]["s"])
+        clash = (x["t"] == 1) & F.coalesce(ahead < x["e"], F.lit(False))
+        state = F.when(x["t"] == 0, F.struct(x["k"].alias("k"), x["s"].alias("s"))).otherwise(acc["state"])
+        marked = F.struct(x["k"].alias("k"), x["s"].alias("s"), x["t"].alias("t"), x["q"].alias("q"), x["n"].alias("n"), x["e"].alias("e"), x["g"].alias("g"), clash.alias("clash"))
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(marked)).alias("out"))
+
+    begun = F.struct(F.lit(None).cast("struct<k: int, s: bigint>").alias("state"), none.alias("out"))
+    marked = F.reverse(_folded(F.reverse(spans), begun, back)["out"])
+
+    def onward(acc: Column, x: Column) -> Column:
+        same = F.coalesce(acc["state"]["k"] == x["k"], F.lit(False))
+        past, held = F.when(same, acc["state"]["past"]).otherwise(F.lit(0)), acc["state"]["held"]
+        free = (x["t"] == 1) & ~x["clash"] & (x["s"] >= past)
+        rival = F.when(same & (x["s"] < held["e"]), held)
+        wins = free & (rival.isNull() | (x["q"] < rival["q"]))
+        leaves = held.isNotNull() & (~same | (wins & rival.isNull()))
+        state = F.struct(
+            x["k"].alias("k"), F.when(x["t"] == 0, F.greatest(past, x["e"])).otherwise(past).alias("past"),
+            F.when(wins, x).when(same, held).alias("held"),
+        )
+        return F.struct(state.alias("state"), F.when(leaves, F.concat(acc["out"], F.array(held))).otherwise(acc["out"]).alias("out"))
+
+    begun = F.struct(F.lit(None).cast(f"struct<k: int, past: bigint, held: {_PICK}>").alias("state"), none.alias("out"))
+    ended = lambda m: _let(_folded(m, begun, onward), lambda acc: F.concat(acc["out"], F.filter(F.array(acc["state"]["held"]), lambda x: x.isNotNull())))
+    kept = F.transform(_let(marked, ended), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), (-x["q"]).alias("p")))
+    return F.when(F.size(scored) > 0, kept).otherwise(F.array().cast("array<struct<s: bigint, k: int, e: bigint, p: double>>"))
 
 
 def personal_data(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, base, added) of every row of ``docs(doc_id, text)``: arrays of (s, k, e[, p]), k as in KINDS.
 
     base has the matches of the base patterns that pass their checks. added has the candidates of
-    all generators that the trees select and that overlap nothing of their kind in base, nor a
-    candidate of their kind with a higher probability (then an earlier start, then a longer one).
-    Null and empty texts have none; texts of any length count whole; repeated rows each give
-    theirs; an empty table gives no rows; other columns are not looked at.
+    all generators that the trees select and that overlap nothing of their kind in base, nor a better
+    candidate of their kind (see ``selected``).
+    Null and empty texts have none; texts of any length count whole, in time that grows with their
+    length; repeated rows each give theirs; an empty table gives no rows; other columns are not looked at.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), candidates(F.col("text")).alias("found"))
     base = F.transform(F.filter("found", lambda x: (x["g"] < len(BASE)) & holds(x)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     based = found.select("doc_id", base.alias("base"), _scored(F.col("found"), model).alias("scored"))
-    free = based.withColumn("scored", F.filter("scored", lambda c: ~F.exists("base", lambda b: _overlaps(c, b))))
-    before = lambda a, b: (a["p"] > b["p"]) | (a["p"] == b["p"]) & ((a["s"] < b["s"]) | (a["s"] == b["s"]) & (a["e"] > b["e"]))
-    won = F.filter("scored", lambda c: ~F.exists("scored", lambda d: _overlaps(c, d) & before(d, c)))
-    added = F.array_distinct(F.transform(won, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["p"].alias("p"))))
-    return free.select("doc_id", "base", added.alias("added"))
+    return based.select("doc_id", "base", selected(F.col("base"), F.col("scored")).alias("added"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
