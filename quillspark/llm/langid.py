@@ -28,11 +28,12 @@ UNKNOWN = "und"
 
 #: ASCII letters in lower case and bytes of other characters stay; the rest is a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter: signs such as ½ and ² count as word characters, but are none.
+_WORD = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 def folded_bytes(text: str | None) -> bytes:
@@ -77,9 +78,13 @@ class Model:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), [True] * len(texts)
         x = counts(texts)
         least = np.interp(np.log(np.maximum(x.sum(axis=1, dtype=np.float64), 1)), np.log(self.grams), self.least)
-        cosine = unit(x * self.idf) @ self.centroids.T
+        centroids, cosine = self.centroids.astype(np.float64), np.zeros((len(texts), len(self.centroids)))
+        for k, v in enumerate(x):  # one by one, in double: a score doesn't depend on the rows beside it
+            at = np.flatnonzero(v)
+            own = v[at] * self.idf[at].astype(np.float64)
+            cosine[k] = centroids[:, at] @ own / np.sqrt(own @ own) if len(at) else 0
         best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
+        score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
         known = np.array([has_letter(t) for t in texts], bool)
         score[~known] = 0
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, ((score < least) | ~known).tolist()
@@ -172,6 +177,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return slim.mapInArrow(predicted, "doc_id long, row_key long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(model: Model):
+    """A column function that tells of a text whether the model accepts it, by the rules of ``identify``."""
+
+    @F.arrow_udf("boolean")
+    def fits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            out = []
+            for at in range(0, len(whole), 256):
+                out += [not x for x in model.predict(whole.slice(at, 256).to_pylist())[2]]
+            yield pa.array(out, pa.bool_())
+
+    return fits
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))

@@ -254,25 +254,36 @@ def mix_rows():
 
 def test_mix_on_odd_rows(spark, monkeypatch):
     df, table = frame(spark, mix_rows(), DOCS)
-    mixed = mixing.mix(df.withColumn("target", F.lit("clash")))
-    got = mixed.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"), F.col("__mix_copies").alias("copies"))
+    clashing = df.withColumns({"target": F.lit("clash"), "copies": F.lit("c"), "row": F.lit("r"), "size": F.lit("s"), "col": F.lit("k")})
+    mixed = mixing.mix(clashing)
+    got = mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
     same(got, mixing.OP7_SQL, documents=table)
     rows = got.collect()
     assert all(0 <= r["copies"] <= 3 for r in rows)
     sources = {(r["source_size"], r["target"]) for r in rows}
     assert sum(t for _, t in sources) == pytest.approx(sum(s for s, _ in sources)) and all(t <= 3 * s for s, t in sources)
-    assert mixing.emitted(mixed, ["doc_id"]).count() == sum(r["copies"] for r in rows)
+    out = mixing.emitted(mixed)
+    assert out.columns == clashing.columns and out.count() == sum(r["copies"] for r in rows) and {r["copies"] for r in out.collect()} == {"c"}
     assert mixing.mix(df.limit(0)).count() == 0
     words = df.where("source = 'empty'")
-    assert [r["__mix_target"] for r in mixing.mix(words).collect()] == [0.0]
+    assert [r["target"] for r in mixing.mix(words).collect()] == [0.0]
 
 
-def test_mix_comes_near_its_targets(spark):
-    rows = [(i, "w " * (1 + i % 9), None, "abc"[i % 3], 0) for i in range(6000)]
-    got = mixing.mix(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.sum(F.col("__mix_size") * F.col("__mix_copies")).alias("taken"), F.first("__mix_target").alias("target")).collect()
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: None, lambda i: 7])
+def test_mix_comes_near_its_targets(spark, ids):
+    rows = [(ids(i), f"n{i} " * (1 + i % 9), None, "abc"[i % 3], 0) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r["taken"] - r["target"]) < 0.05 * r["target"] for r in got)
 
 
+def test_very_long_texts_are_mixed_and_sharded_whole(spark):
+    rows = [(1, "w " * 1_000_000, None, "a", 0), (2, "w", None, "a", 0), (3, "v" * 3_000_000, None, "b", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).select("row.doc_id", "size").collect()} == {1: 1_000_000, 2: 1, 3: 1}
+    held = sharding.shard(df, 2_000_000).groupBy("shard", "shard_page").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert sum(r["b"] for r in held) == 5_000_001 and all(r["b"] <= 2_000_000 or r["n"] == 1 for r in held)
+
+
 def test_ranks_follow_code_points(spark):
     names = ["b", "a", "B", "é", "z", "", "aa", None]
     got = {r["source"]: r["rank"] for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string").repartition(3)).collect()}
@@ -286,7 +297,9 @@ def test_ranks_follow_code_points(spark):
 def test_shards_fit_and_match_the_shortest_fitting_prefix(spark, limit):
     rows = [(i, "x" * (i % 37), None, None, 0) for i in range(300)] + [(1000, None, None, None, 0), (None, "null id", None, None, 0), (1001, "y" * 90, None, None, 0)]
     df, table = frame(spark, rows, DOCS)
-    out = sharding.shard(df.withColumn("shard", F.lit("clash")), limit)
+    clashing = df.withColumns({"shard": F.lit("clash"), "bits": F.lit("b"), "row": F.lit("r"), "part": F.lit("p"), "root": F.lit("t")})
+    out = sharding.shard(clashing, limit)
+    assert out.columns == [*(c for c in clashing.columns if c != "shard"), *sharding.ADDED] and {(r["bits"], r["row"], r["part"], r["root"]) for r in out.collect()} == {tuple("brpt")}
     got = out.select("doc_id", sharding.text_bytes(F.col("text")).alias("bytes"), *sharding.ADDED)
     same(got, sharding.op10_sql(limit), documents=table)
     held = got.groupBy("shard", "shard_page").agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).collect()
@@ -301,5 +314,8 @@ def test_shards_of_one_id_are_chained(spark):
     held = got.groupBy("shard", "shard_page").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
     assert all(r["b"] <= 100 for r in held) and sum(r["n"] for r in held) == 96
     assert sharding.shard(df.limit(0), 100).count() == 0
+    mixed = [(9, "x" * (99 if i % 40 == 0 else 60 if i % 10 == 0 else 5), None, None, 0) for i in range(400)]
+    pages = sharding.shard(spark.createDataFrame(mixed, DOCS).repartition(3), 100).groupBy("shard_page").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert all(r["b"] <= 100 for r in pages) and len(pages) <= 2 * sum(len(t[1]) for t in mixed) / 100 + 1
     huge = sharding.shard(spark.createDataFrame([(1, "q" * 500, None, None, 0), (1, "q" * 500, None, None, 0)], DOCS), 100)
     assert huge.select("shard", "shard_page").distinct().count() == 2
