@@ -64,52 +64,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return known.select("source", F.col("source_size").cast("long").alias("source_size"), F.when(capped, (cap * F.col("source_size")).cast("double")).otherwise(shared).alias("target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, DRAW_BITS // 4)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << DRAW_BITS))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the id, the text and the seed only: rows without an id, or with the id of another, draw by their text."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.coalesce(F.md5(text), F.lit("")))
+    return F.conv(F.substring(F.md5(said), 1, DRAW_BITS // 4), 16, 10).cast("double") / F.lit(float(1 << DRAW_BITS))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Every row of ``docs`` with ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_copies``.
+    """(row, size, source_size, target, copies): ``row`` holds every column of a row of ``docs``, whatever their names.
 
     copies is floor(rate) plus one more with probability rate - floor(rate), rate being the
-    source's target over its size. Null texts have size 0, a null source is a source of its
-    own, repeated rows draw alike, and an empty table gives no rows. Other columns pass through.
+    source's target over its size. Null texts have size 0, very long ones count whole, a null source is a source of its
+    own, rows that are equal in id and text draw alike, and an empty table gives no rows.
     """
-    sized = docs.withColumn("__mix_size", word_count(F.col("text")))
-    targets = cut(source_targets(sized.select(F.col("source"), F.col("__mix_size").alias("size"))))
-    targets = targets.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
+    sized = docs.select(F.struct(*docs.columns).alias("row")).withColumn("size", word_count(F.col("row.text")))
+    targets = cut(source_targets(sized.select(F.col("row.source").alias("source"), "size")))
     if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a row per source
         targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
-    rate = F.when(F.col("__mix_source_size") > 0, F.least(F.col("__mix_target") / F.col("__mix_source_size"), F.lit(float(cap)))).otherwise(F.lit(1.0))
+    joined = sized.join(targets, F.col("row.source").eqNullSafe(targets["source"]), "left")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(1.0))
     whole = F.floor(rate)
-    extra = F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
-    return joined.withColumn("__mix_copies", (whole + extra).cast("int"))
+    extra = F.when(draw(F.col("row.doc_id"), F.col("row.text"), seed) < rate - whole, 1).otherwise(0)
+    return joined.select("row", "size", "source_size", "target", (whole + extra).cast("int").alias("copies"))
 
 
-def emitted(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of each row as many times as the mix takes it."""
-    return mixed.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*columns)
+def emitted(mixed: DataFrame) -> DataFrame:
+    """Each row, with its own columns, as many times as the mix takes it."""
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select(
-        "doc_id",
-        F.col("__mix_size").alias("size"),
-        F.col("__mix_source_size").alias("source_size"),
-        F.col("__mix_target").alias("target"),
-        (F.col("__mix_size") * F.col("__mix_copies")).cast("long").alias("taken"),
-        F.col("__mix_copies").alias("copies"),
-    )
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 #: The water level by prefix sums: sources in order of cap by weight; the first that stays below its cap ends the capped ones.
 OP7_SQL = rf"""
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents
+  select doc_id, source, coalesce(md5(text), '') as said, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size from d group by source
 ), w as (
@@ -128,7 +120,7 @@ with d as (
   from w, l
 ), r as (
   select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then least(t.target / t.source_size, {float(CAP)}) else 1.0 end as rate,
-    cast(cast('0x' || substr(md5(coalesce(cast(d.doc_id as varchar), 'null') || ':{SEED}'), 1, {DRAW_BITS // 4}) as bigint) as double) / {float(1 << DRAW_BITS)} as draw
+    cast(cast('0x' || substr(md5(coalesce(cast(d.doc_id as varchar), 'null') || ':{SEED}:' || d.said), 1, {DRAW_BITS // 4}) as bigint) as double) / {float(1 << DRAW_BITS)} as draw
   from d join t on d.source is not distinct from t.source
 ), c as (
   select *, cast(floor(rate) as integer) + case when draw < rate - floor(rate) then 1 else 0 end as copies from r
