@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import BROADCAST_ROWS, cut, small, table
 
 #: Bytes of text that a shard may hold.
 LIMIT_BYTES = 16 << 20
@@ -57,44 +57,50 @@ def directory(cells: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """Every row of ``docs`` with ``shard`` (its bucket's bits as 0s and 1s), its bytes and items, and ``shard_page``.
 
-    Columns of ``docs`` by those names give way. Null texts weigh 0 bytes; an empty table
+    Columns of ``docs`` by those names give way; others pass through, whatever their names. Null texts weigh 0 bytes, very
+    long ones their whole length; null ids hash alike; an empty table
     gives no rows. Rows that share an id share all bits: such a bucket above the limit is
     chained in pages of at most ``limit`` bytes (or of one row, if that alone is larger);
     else the page is 0.
 
     The directory has a row for each bucket, which grows with the data: it is looked up by
-    a join on its shallowest depth, broadcast only after counting it.
+    a join on its shallowest depth, broadcast only after counting its buckets.
     """
     kept = [c for c in docs.columns if c.lower() not in ADDED]
-    rows = docs.select(*kept).withColumn("__bits", hash_bits(F.col("doc_id"))).withColumn("__bytes", text_bytes(F.col("text")))
-    leaves = directory(cut(rows.select(F.col("__bits").alias("bits"), F.col("__bytes").alias("bytes"))), limit)
+    rows = docs.select(F.struct(*kept).alias("row")).withColumns({"bits": hash_bits(F.col("row.doc_id")), "bytes": text_bytes(F.col("row.text"))})
+    leaves = directory(cut(rows.select("bits", "bytes")), limit)
     root, chained = leaves.agg(F.coalesce(F.min("depth"), F.lit(0)), F.count(F.when((F.col("bytes") > limit) & (F.col("items") > 1), 1))).first()
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    under = leaves.groupBy(F.call_function("shiftright", F.col("prefix"), (F.col("depth") - root).cast("int")).alias("__root")).agg(
-        F.collect_list(F.struct("depth", "prefix", name.alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("items").alias("shard_items"))).alias("__leaves")
+    under = leaves.groupBy(F.call_function("shiftright", F.col("prefix"), (F.col("depth") - root).cast("int")).alias("root")).agg(
+        F.collect_list(F.struct("depth", "prefix", name.alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("items").alias("shard_items"))).alias("leaves")
     )
-    found = rows.withColumn("__root", prefix(F.col("__bits"), root)).join(small(cut(under)), "__root", "left")
-    own = F.filter(F.col("__leaves"), lambda x: prefix(F.col("__bits"), x["depth"]) == x["prefix"])[0]
-    found = found.withColumn("__own", own).select(*kept, "__bytes", "__own.shard", "__own.shard_bytes", "__own.shard_items")
+    few = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of buckets: a row of ``under`` holds many
+    found = rows.withColumn("root", prefix(F.col("bits"), root)).join(F.broadcast(under) if few else under, "root", "left")
+    own = F.filter(F.col("leaves"), lambda x: prefix(F.col("bits"), x["depth"]) == x["prefix"])[0]
+    found = found.withColumn("own", own).select("row", "bytes", "own.shard", "own.shard_bytes", "own.shard_items")
+    zero = F.lit(0).cast("long").alias("shard_page")
     if not chained:
-        return found.withColumn("shard_page", F.lit(0).cast("long")).drop("__bytes")
+        return found.select("row.*", *ADDED[:3], zero)
     chain = (F.col("shard_bytes") > limit) & (F.col("shard_items") > 1)
-    return _paged(found.where(chain), limit).unionByName(found.where(~chain).withColumn("shard_page", F.lit(0).cast("long"))).drop("__bytes")
+    return _paged(found.where(chain), limit).unionByName(found.where(~chain).select("row.*", *ADDED[:3], zero))
 
 
 def _paged(rows: DataFrame, limit: int) -> DataFrame:
-    """Pages of buckets of one id: bytes before a row, counted by part and then within the part, so that no task holds a bucket."""
-    parts = cut(rows.withColumn("__part", F.spark_partition_id()))
-    sums = parts.groupBy("shard", "__part").agg(F.sum("__bytes").alias("__sum"), F.max("__bytes").alias("__most"), F.count("*").alias("__n"))
-    whole, before = Window.partitionBy("shard"), Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("shard", "__part", F.max("__most").over(whole).alias("__most"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__bytes_before"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_before"))
-    inside = Window.partitionBy("shard", "__part").orderBy(F.xxhash64("text"))
-    up_to = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("__at", F.coalesce(F.sum("__bytes").over(up_to), F.lit(0))).withColumn("__nth", F.row_number().over(inside) - 1)
-    placed = placed.join(small(cut(sums)), ["shard", "__part"])
-    step = F.lit(limit) - F.col("__most")
-    page = F.when(step > 0, F.floor((F.col("__at") + F.col("__bytes_before")) / F.when(step > 0, step))).otherwise(F.col("__nth") + F.col("__n_before"))
-    return placed.withColumn("shard_page", page.cast("long")).select(*rows.columns, "shard_page")
+    """Pages of buckets of one id: what lies before a row, counted by part and then within the part, so that no task holds a bucket.
+
+    A row of over half the limit has a page of its own. Of the others, those that begin within the same stretch of
+    ``limit`` less the largest of them share a page, which leaves none but the last less than half full.
+    """
+    large = F.col("bytes") * 2 > limit
+    parts = cut(rows.withColumns({"part": F.spark_partition_id(), "large": large, "small": F.when(large, 0).otherwise(F.col("bytes"))}))
+    sums = parts.groupBy("shard", "part").agg(F.sum("small").alias("sum"), F.max("small").alias("most"), F.count_if("large").alias("n"))
+    whole, before = Window.partitionBy("shard"), Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("shard", "part", F.max("most").over(whole).alias("most"), F.sum("n").over(whole).alias("all_large"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("large_before"))
+    up_to = Window.partitionBy("shard", "part").orderBy("large", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({"at": F.coalesce(F.sum("small").over(up_to), F.lit(0)), "nth": F.coalesce(F.count_if("large").over(up_to), F.lit(0))})
+    placed = placed.join(small(cut(sums)), ["shard", "part"])
+    page = F.when(F.col("large"), F.col("nth") + F.col("large_before")).otherwise(F.col("all_large") + F.floor((F.col("at") + F.col("bytes_before")) / F.greatest(F.lit(limit) - F.col("most"), F.lit(1))))
+    return placed.withColumn("shard_page", page.cast("long")).select("row.*", *ADDED)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
