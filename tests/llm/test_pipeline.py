@@ -28,7 +28,7 @@ def test_stages_in_order(spark):
             gone = {r["doc_id"] for r in decontaminate.contamination(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated").collect()}
             assert gone and sorted(kept) == sorted(set(ids) - gone)
         elif name == "mix":
-            copies = {r["doc_id"]: r["__mix_copies"] for r in mixing.mix(docs).collect()}
+            copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).select("row.doc_id", "copies").collect()}
             assert sorted(kept) == sorted(d for d, n in copies.items() for _ in range(n))
         else:
             assert sorted(kept) == sorted(ids)
@@ -38,13 +38,42 @@ def test_stages_in_order(spark):
     assert corpus_pipeline.run(spark, DATA).count() == seen[-1][1]
 
 
+def test_run_leaves_only_its_result(spark):
+    import glob
+
+    folder = spark.sparkContext.getCheckpointDir() or ""
+    before = set(glob.glob(f"{folder.removeprefix('file:')}/*"))
+    out = corpus_pipeline.run(spark, DATA)
+    made = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/*")) - before
+    assert out.count() > 0 and len([x for x in made if "rdd-" in x]) == 0
+    assert [glob.glob(f"{x}/*")[0].endswith("4-shards") for x in made if "pipeline-" in x] == [True]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_a_very_long_text(spark, name, stage):
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").first()["text"]
+    long = "the rain falls in the town and the sun is on the hill " * 20_000
+    rows = [(1, long, "en", "a"), (2, long.replace("sun", "moon", 1), "en", "a"), (3, passage, "en", "b"), (4, long + passage, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    ids = sorted(r["doc_id"] for r in stage(spark, docs, DATA).collect())
+    assert ids == {"language": [1, 2, 3, 4], "near_dedup": [1, 3], "decontamination": [1, 2, 4], "shards": [1, 2, 3, 4]}.get(name, ids)
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_rows(spark, name, stage):
     rows = [(1, "the rain in the town " * 10, "en", "a"), (1, "the rain in the town " * 10, "en", "a"), (2, None, None, None), (3, "", "en", "b"), (None, "le chat et la pluie " * 10, "fr", "b"), (4, "12 34", "en", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    docs = docs.withColumns({"n_chars": F.lit(1).cast("long"), "row_key": F.lit("clash"), "score": F.lit(0.5), "size": F.lit(1)})
-    out = stage(spark, docs, DATA).collect()
-    assert len(out) <= 3 * len(rows)
-    if name == "near_dedup":
-        assert sorted(str(r["doc_id"]) for r in out) == ["1", "2", "4", "None"]  # null and empty texts are one group
+    docs = docs.withColumns({"n_chars": F.lit(1).cast("long"), "row_key": F.lit("clash"), "score": F.lit(0.5), "size": F.lit(1), "row": F.lit("r"), "gone": F.lit(2), "key": F.lit("k"), "again": F.lit(3), "copies": F.lit(4), "bits": F.lit("b"), "__gone": F.lit("g"), "component": F.lit(5)})
+    result = stage(spark, docs, DATA)
+    out = result.collect()
+    assert result.columns[: len(docs.columns)] == docs.columns and {(r["row"], r["gone"], r["copies"]) for r in out} <= {("r", 2, 4)}
+    ids = sorted(str(r["doc_id"]) for r in out)
+    if name == "language":
+        assert ids == ["1", "1"]  # without a letter there is no language; the row without an id isn't learned from, so French isn't known
+    elif name == "near_dedup":
+        assert ids == ["1", "2", "4", "None"]  # null and empty texts are one group
+    elif name in ("decontamination", "shards"):
+        assert ids == ["1", "1", "2", "3", "4", "None"]
+    else:
+        assert set(ids) <= {"1", "2", "3", "4", "None"} and ids.count("1") % 2 == 0  # equal rows draw alike
     assert stage(spark, docs.limit(0), DATA).count() == 0

@@ -47,20 +47,24 @@ def test_lines_relative_to_their_site(spark):
 # decontamination
 
 
-def brute_contamination(docs, items, width=13):
+def brute_contamination(docs, items, width=13, slack=3):
     out = []
-    items = {i: decontaminate.words(t.encode()) for i, t in items if t is not None and i is not None}
+    items = [(i, decontaminate.words(t.encode())) for i, t in items if t is not None]
     for d, t in docs:
         w = decontaminate.words(t.encode() if t is not None else None)
-        hit, found = set(), set()
-        for i, x in items.items():
+        hit, found, near = set(), set(), set()
+        for i, x in items:
             size = min(width, len(x))
             grams = {tuple(x[k : k + size]) for k in range(len(x) - size + 1)} if x else set()
             for k in range(len(w) - size + 1 if x else 0):
                 if tuple(w[k : k + size]) in grams:
                     hit |= set(range(k, k + size))
-                    found.add(str(i))
-        out.append((d, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+                    found |= {str(i)} - {"None"}
+            for g in grams:
+                for b in range(-slack, len(w) + slack):
+                    if all(v in w[max(b + k - slack, 0) : max(b + k + slack + 1, 0)] for k, v in enumerate(g)):
+                        near |= {str(i)} - {"None"}
+        out.append((d, len(w), len(hit), sorted(found), sorted(near), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 
 
@@ -75,7 +79,7 @@ def test_contamination_is_that_of_brute_force(spark, monkeypatch, pass_bytes, se
     monkeypatch.setattr(decontaminate, "SEGMENT_TOKENS", segment)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     found = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"))
-    got = sorted(((x["doc_id"], x["n_words"], x["n_hit"], list(x["items"]), x["contaminated"]) for x in found.collect()), key=repr)
+    got = sorted(((x["doc_id"], x["n_words"], x["n_hit"], list(x["items"]), list(x["near_items"]), x["contaminated"]) for x in found.collect()), key=repr)
     assert got == brute_contamination(docs, items)
 
 
@@ -90,6 +94,30 @@ def test_contamination_of_empty_tables_and_proximity(spark):
     assert [r["n_hit"] for r in decontaminate.contamination(docs, items.limit(0)).collect()] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("pass_bytes", [8 << 20, 40])
+def test_near_passages_are_those_of_brute_force(spark, monkeypatch, pass_bytes):
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
+    r = random.Random(9)
+    items = [(i, " ".join(f"w{r.randint(0, 30)}" for _ in range(r.choice([2, 5, 13, 16])))) for i in range(12)]
+    docs = []
+    for i in range(150):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(w) + 1)
+            w = r.choice([[*w[:k], "new", *w[k:]], [*w[:k], *w[k + 1 :]] or w, [*w[:k], *reversed(w[k : k + 3]), *w[k + 3 :]]])
+        docs.append((i, " ".join(["x"] * r.randint(0, 4) + w)))
+        # the next document goes on where this one is cut
+        docs.append((1000 + i, " ".join(w[: len(w) // 2])))
+        docs.append((2000 + i, " ".join(w[len(w) // 2 :])))
+    docs.append((5000, "y " * 300_000 + items[0][1]))
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted(((x["doc_id"], x["n_words"], x["n_hit"], list(x["items"]), list(x["near_items"]), x["contaminated"]) for x in found), key=repr)
+    expected = brute_contamination(docs[:-1], items)
+    assert [x for x in got if x[0] != 5000] == expected and any(x[4] != x[3] for x in expected)
+    (long,) = (x for x in got if x[0] == 5000)
+    assert long[2] == len(items[0][1].split()) and "0" in long[3]
+
+
 # near-duplicates
 
 

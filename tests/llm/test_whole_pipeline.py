@@ -1,4 +1,4 @@
-"""Passages of the benchmark without an id are taken out by the pipeline as well."""
+"""Passages of the benchmark without an id mark words, and the pipeline takes out what holds them."""
 
 import corpus_pipeline
 import pytest
@@ -14,5 +14,5 @@ def test_passages_without_an_id_go(spark, tmp_path, monkeypatch, pass_bytes, seg
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame(list(enumerate(passages.values())), "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
-    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items, unnamed=True).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
     assert [(got[d]["n_hit"], list(got[d]["items"])) for d in range(3)] == [(15, []), (15, ["7"]), (0, [])]
