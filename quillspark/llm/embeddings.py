@@ -8,27 +8,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import cut, small, table
+from .common import cut, small, spread_join, table
 from .components import connected_components
 from .simhash import forest
 
 THRESHOLD = 0.93
 #: Vectors of one side of a tile.
 TILE = 2048
-#: Steps of the leading coordinate to a unit.
+#: Leading principal coordinates by which vectors are put in blocks.
+LEADING = 3
+#: Steps of a coordinate to a unit.
 BINS = 512
 #: Dimensions whose products are taken in one step.
 STEP = 8
 #: Rounding that a bound in rotated double-precision coordinates may be off by.
 ROUNDING = 1e-9
+#: Tasks that add up the matrices of all others.
+ADDERS = 16
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(node, label, vector, least, n): the distinct vectors of each label that can link at all.
+    """(k1, k2, label, vector, least, n): the distinct vectors of each label that can link at all.
 
-    Equal vectors of a label are one class of n rows, by a pre-aggregated count; least is their
+    Equal vectors of a label are one class of n rows, by a pre-aggregated count; k1 and k2 are its 128-bit key, least its
     least vec_id. Vectors that are null, zero or hold null, NaN or infinite components, and those
     of null labels, are left out.
     """
@@ -36,20 +40,21 @@ def usable(embeddings: DataFrame) -> DataFrame:
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = v.isNotNull() & F.col("label").isNotNull() & ~odd & F.exists(v, lambda x: x != 0)
     classes = embeddings.where(F.coalesce(fine, F.lit(False))).select("label", v.alias("vector"), "vec_id")
-    classes = classes.groupBy(node().alias("node")).agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    return classes
+    return classes.groupBy(*keys()).agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
 
 
-def node(vector: str = "vector") -> Column:
-    """A key of a vector and its label; the two zeros count as one."""
-    return F.xxhash64(F.col("label"), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)))
+def keys(vector: str = "vector") -> list[Column]:
+    """A key of a vector and its label in two halves; the two zeros count as one."""
+    plain = F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))
+    return [F.xxhash64(F.col("label"), plain).alias("k1"), F.xxhash64(F.lit("second"), F.col("label"), plain).alias("k2")]
 
 
 def principal(classes: DataFrame) -> dict[int, np.ndarray]:
     """By vector length, the principal axes (columns, leading first) of the unit vectors.
 
-    Each task sums its own outer products; one matrix of d by d a task and length reaches the
-    driver. Lengths are few; vectors of other lengths never link.
+    Each task sums the outer products of its own vectors where they lie. Of each task and length one matrix of d by d
+    is shuffled, to a few tasks that add them up, and theirs reach the driver. Lengths are few; vectors of
+    other lengths never link.
     """
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,14 +62,25 @@ def principal(classes: DataFrame) -> dict[int, np.ndarray]:
         for b in batches:
             for d, (_, x) in _by_length(b).items():
                 sums[d] = sums.get(d, 0) + x.T @ x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["d", "s"])
+        yield from _matrices(sums)
 
-    added: dict[int, np.ndarray] = {}
-    parts = classes.select("vector").repartition(16).mapInArrow(moments, "d int, s binary")
-    for r in parts.collect():
-        added[r["d"]] = added.get(r["d"], 0) + np.frombuffer(bytes(r["s"])).reshape(r["d"], r["d"])
-    return {d: np.ascontiguousarray(np.linalg.eigh(s)[1][:, ::-1]) for d, s in added.items()}
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for d, s in zip(b.column("d").to_pylist(), b.column("s").to_pylist(), strict=True):
+                sums[d] = sums.get(d, 0) + np.frombuffer(s).reshape(d, d)
+        yield from _matrices(sums)
+
+    total: dict[int, np.ndarray] = {}
+    parts = classes.select("vector").mapInArrow(moments, "d int, s binary")
+    for r in parts.repartition(ADDERS).mapInArrow(added, "d int, s binary").collect():
+        total[r["d"]] = total.get(r["d"], 0) + np.frombuffer(bytes(r["s"])).reshape(r["d"], r["d"])
+    return {d: np.ascontiguousarray(np.linalg.eigh(s)[1][:, ::-1]) for d, s in total.items()}
+
+
+def _matrices(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["d", "s"])
 
 
 def _by_length(b: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -108,46 +124,88 @@ def near(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, step:
 
 
 def placed(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
-    """``classes`` with the leading principal coordinate of their unit vectors, in steps of 1 / BINS, as ``bin``."""
+    """``classes`` with ``at``: the leading principal coordinates of their unit vectors and the norm of all others, in steps of 1 / BINS."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = np.zeros(b.num_rows, np.int32)
-            for d, (at, x) in _by_length(b).items():
-                bins[at] = np.floor(x @ axes[d][:, 0] * BINS)
-            yield b.append_column("bin", pa.array(bins))
+            steps = np.zeros((b.num_rows, LEADING + 1), np.int32)
+            for d, (rows, x) in _by_length(b).items():
+                lead = x @ axes[d][:, :LEADING]
+                rest = np.sqrt(np.maximum(0, 1 - (lead * lead).sum(axis=1)))
+                steps[rows, : lead.shape[1]] = np.floor(lead * BINS)
+                steps[rows, LEADING] = np.floor(rest * BINS)
+            yield b.append_column("at", pa.array(list(steps), pa.list_(pa.int32())))
 
-    return classes.mapInArrow(put, StructType([*classes.schema.fields, StructField("bin", IntegerType())]))
+    return classes.mapInArrow(put, StructType([*classes.schema.fields, StructField("at", ArrayType(IntegerType()))]))
+
+
+def blocks(rows: DataFrame, size: int = TILE) -> DataFrame:
+    """(label, d, at, cell, c, path): of each place ``at`` that rows of ``rows(label, d, at)`` have, the block it is in, their number, and the blocks above.
+
+    A label is cut along its leading coordinate into slabs of about as many rows, each of these along the next, and so
+    on; a block has about ``size`` rows. Only counts by step of a coordinate are put in order, so no task
+    holds a label. ``path`` names a block's slab of each level, so that pairs can be looked for from above.
+    """
+    places = cut(rows.groupBy("label", "d", "at").agg(F.count("*").alias("c")).withColumn("cell", F.lit("")))
+    paths = []
+    for k in range(LEADING):
+        own = ["label", "d", "cell"]
+        bins = places.groupBy(*own, F.col("at")[k].alias("bin")).agg(F.sum("c").alias("c"))
+        before = Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumns({"before": F.coalesce(F.sum("c").over(before), F.lit(0)), "all": F.sum("c").over(Window.partitionBy(*own))})
+        slabs = F.ceil(F.pow(F.col("all") / size, F.lit(1.0 / (LEADING - k))))
+        bins = bins.select(*own, "bin", F.floor(F.col("before") * slabs / F.col("all")).alias("slab"))
+        joined = places.withColumn("bin", F.col("at")[k]).join(small(cut(bins)), [*own, "bin"])
+        paths.append(f"p{k}")
+        places = joined.withColumn("cell", F.concat_ws(".", F.nullif("cell", F.lit("")), "slab")).withColumn(f"p{k}", F.col("cell")).select("label", "d", "at", "cell", "c", *paths)
+    return cut(places.select("label", "d", "at", "cell", "c", F.array(*paths).alias("path")))
+
+
+def meetings(places: DataFrame, threshold: float) -> DataFrame:
+    """(label, d, a, b): the pairs of blocks (a at most b) that vectors with a cosine of ``threshold`` can be in.
+
+    Unit vectors with cosine t are sqrt(2 - 2 t) apart; so are at most the points of their leading coordinates and suffix
+    norms, as that difference is a lower bound of the one between the suffixes themselves. Pairs of slabs whose boxes of
+    such points are farther apart are left out with all that they hold: each level looks only inside the pairs of the one above.
+    """
+    reach, pairs = float(np.sqrt(max(0.0, 2 - 2 * threshold)) * BINS), None
+    for k in range(LEADING):
+        box = [x for i in range(LEADING + 1) for x in (F.min(F.col("at")[i]).alias(f"low{i}"), F.max(F.col("at")[i]).alias(f"high{i}"))]
+        above = F.col("path")[k - 1] if k else F.lit("")
+        cells = cut(places.groupBy("label", "d", above.alias("above"), F.col("path")[k].alias("cell")).agg(*box))
+        if pairs is None:
+            pairs = cells.select("label", "d", F.lit("").alias("a"), F.lit("").alias("b")).distinct()
+        side = lambda s: cells.select("label", "d", F.col("above").alias(s), F.struct("cell", *[f"{x}{i}" for i in range(LEADING + 1) for x in ("low", "high")]).alias(f"{s}_"))  # noqa: E731, B023
+        both = pairs.join(side("a"), ["label", "d", "a"]).join(side("b"), ["label", "d", "b"])
+        gaps = F.lit(0.0)
+        for i in range(LEADING + 1):  # a step more to the far side: steps are rounded down
+            gap = F.greatest(F.col(f"b_.low{i}") - F.col(f"a_.high{i}") - 1, F.col(f"a_.low{i}") - F.col(f"b_.high{i}") - 1, F.lit(0))
+            gaps = gaps + gap * gap
+        near = both.where((gaps <= reach * reach + 1e-6) & ((F.col("a") != F.col("b")) | (F.col("a_.cell") <= F.col("b_.cell"))))
+        pairs = cut(near.select("label", "d", F.col("a_.cell").alias("a"), F.col("b_.cell").alias("b")))
+    return pairs
 
 
 def tiled(rows: DataFrame, threshold: float, size: int = TILE) -> DataFrame:
-    """(tile, side, node, n, vector): each row in all tiles in which it has to be compared.
+    """(label, tile, side, node, n, d, vector): each row in all tiles in which it has to be compared.
 
-    Within a label, rows are in order of their leading coordinate, in blocks of about ``size``; a
-    bin that holds more is split by a hash. Unit vectors with cosine t are sqrt(2 - 2 t) apart at
-    most, and so are their leading coordinates: blocks farther apart never meet. Only counts by bin
-    are put in order; a label of any size is dealt out block by block, so that no task holds one.
+    A tile is a pair of blocks that can meet (``meetings``), or of pieces of them, where a block holds more than ``size`` rows
+    at places that can't be told apart. Blocks are dealt out one by one, so that no task holds a label.
     """
     rows = rows.withColumn("d", F.size("vector"))
-    bins = rows.groupBy("label", "d", "bin").agg(F.count("*").alias("c"))
-    so_far = Window.partitionBy("label", "d").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("run", F.floor(F.coalesce(F.sum("c").over(so_far), F.lit(0)) / size)).withColumn("pieces", F.ceil(F.col("c") / size))
-    bins = cut(bins.withColumn("large", F.col("pieces") > 1))
-    # a block: a run of bins, or one piece of a large bin
-    blocks = bins.withColumn("piece", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
-    whose = F.when(F.col("large"), F.struct(F.lit(1).alias("k"), F.col("bin").cast("long").alias("of"), "piece")).otherwise(F.struct(F.lit(0).alias("k"), F.col("run").alias("of"), "piece"))
-    blocks = blocks.groupBy("label", "d", whose.alias("block")).agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    band = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) * BINS)) + 1
-    meet = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.high") + band >= F.col("b.low")) & (F.col("b.high") + band >= F.col("a.low")))
-    mine, other = F.col("a.block"), F.col("b.block")
-    tile = F.xxhash64("a.label", "a.d", F.least(mine, other), F.greatest(mine, other))
-    side = F.when(mine == other, 2).when(mine < other, 0).otherwise(1)
-    meet = meet.groupBy(F.col("a.label").alias("label"), F.col("a.d").alias("d"), mine.alias("block")).agg(F.collect_list(F.struct(tile.alias("tile"), side.alias("side"))).alias("meets"))
-    at = rows.join(small(bins.select("label", "d", "bin", "run", "pieces", "large")), ["label", "d", "bin"])
-    at = at.withColumn("piece", F.when(F.col("large"), F.pmod(F.col("node"), F.col("pieces"))).otherwise(F.lit(0).cast("long"))).withColumn("block", whose)
-    dealt = at.join(small(cut(meet)), ["label", "d", "block"]).select("node", "n", "d", "vector", F.explode("meets").alias("m"))
-    return dealt.select("m.tile", "m.side", "node", "n", "d", "vector")
+    places = blocks(rows, size)
+    of = cut(places.groupBy("label", "d", "cell").agg(F.ceil(F.sum("c") / size).cast("int").alias("pieces")))
+    pairs = meetings(places, threshold).join(of.withColumnsRenamed({"cell": "a", "pieces": "na"}), ["label", "d", "a"]).join(of.withColumnsRenamed({"cell": "b", "pieces": "nb"}), ["label", "d", "b"])
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs = pairs.where((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j")))
+    alone = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+    tile = F.concat_ws(" ", "a", "i", "b", "j")
+    ends = F.when(alone, F.array(F.struct(F.col("a").alias("cell"), F.col("i").alias("piece"), F.lit(2).alias("side")))).otherwise(
+        F.array(F.struct(F.col("a").alias("cell"), F.col("i").alias("piece"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cell"), F.col("j").alias("piece"), F.lit(1).alias("side"))))
+    meets = cut(pairs.select("label", "d", tile.alias("tile"), F.inline(ends)))
+    at = rows.join(small(places.select("label", "d", "at", "cell")), ["label", "d", "at"]).join(small(of), ["label", "d", "cell"])
+    at = at.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    return at.join(small(meets), ["label", "d", "cell", "piece"]).select("label", "tile", "side", "node", "n", "d", "vector")
 
 
 def links(tiles: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
@@ -168,7 +226,7 @@ def links(tiles: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> Da
         root, at = forest(len(nodes), i, j), np.flatnonzero(c)
         return pa.table({"u": pa.array(nodes[at]), "v": pa.array(nodes[root[at]], mask=root[at] == at), "c": pa.array(c[at])})
 
-    return tiles.groupBy("tile").applyInArrow(compared, "u long, v long, c long")
+    return tiles.groupBy("label", "d", "tile").applyInArrow(compared, "u long, v long, c long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, size: int = TILE) -> DataFrame:
@@ -181,17 +239,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, size: i
     table gives no rows; other columns are not looked at.
     """
     slim = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    classes = cut(usable(slim))
+    classes = cut(usable(slim).withColumn("node", F.monotonically_increasing_id()))  # a number, not a hash: no two classes share one
     axes = principal(classes)
-    found = cut(links(tiled(cut(placed(classes, axes)), threshold, size), axes, threshold))
-    joined = connected_components(found.where("v is not null").select("u", "v"))
+    found = cut(links(tiled(cut(placed(classes.select("node", "label", "vector", "n"), axes)), threshold, size), axes, threshold))
+    joined = connected_components(found.where("v is not null").select("u", "v"), classes.select("node", F.col("least").alias("id")))
     counted = found.groupBy(F.col("u").alias("node")).agg(F.sum("c").alias("c"))
-    named = classes.select("node", "least", "n").join(joined, "node", "left").join(counted, "node", "left")
-    named = cut(named.select("node", "least", (F.coalesce("c", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(ids, "component").select(F.col("node").alias("__node"), "n_links", "component_id"))
-    rows = slim.select("vec_id", node("embedding").alias("__node"))
-    whole = rows.join(named, "__node", "left")
+    named = classes.select("node", "k1", "k2", "least", "n").join(joined, "node", "left").join(counted, "node", "left")
+    component = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    named = cut(named.select(F.struct("k1", "k2").alias("key"), (F.coalesce("c", F.lit(0)) + F.col("n") - 1).alias("n_links"), component.alias("component_id"), "n"))
+    rows = slim.select("vec_id", F.struct(*keys("embedding")).alias("__key"))
+    whole = spread_join(rows, named.drop("n"), "__key", "key", "left", counts=named.select(F.col("key").alias("k"), F.col("n").alias("c")))
     component = F.coalesce("component_id", "vec_id")
     return whole.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

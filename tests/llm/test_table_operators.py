@@ -267,6 +267,20 @@ def test_embedding_links_are_those_of_brute_force(spark, size):
     assert got == brute_embeddings(rows)
 
 
+def test_blocks_that_can_not_meet_are_not_compared(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(600, 8)) * np.array([9, 6, 4, 1, 1, 1, 1, 1])
+    rows = [(k, v.astype(np.float32).tolist(), 0) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(x) for x in embeddings.near_duplicates(df, size=20).collect()) == brute_embeddings(rows)
+    classes = common.cut(embeddings.usable(df).withColumn("node", F.monotonically_increasing_id()))
+    at = embeddings.placed(classes, embeddings.principal(classes)).withColumn("d", F.size("vector"))
+    places = embeddings.blocks(at, 20)
+    n, met = places.select("cell").distinct().count(), embeddings.meetings(places, 0.93).count()
+    assert n >= 20 and met < n * (n + 1) / 2 * 0.6
+    assert places.groupBy("cell").agg(F.sum("c").alias("c")).agg(F.max("c")).first()[0] < 80
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
