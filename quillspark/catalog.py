@@ -40,4 +40,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from .plans import fixture_queries, table_queries  # noqa: F401  they register themselves
+    from .plans import fixture_queries, review_queries, table_queries  # noqa: F401  they register themselves

@@ -41,12 +41,26 @@ def item_line(order: Column | None = None) -> Column:
     return F.coalesce(_field("_line_override"), F.nullif(F.trim(line), F.lit("")), source)
 
 
+def letterhead_lines(items: DataFrame) -> DataFrame:
+    """(doc_id, section_ord, line_ord, text, style): name, titles (a line each), contact and address of accepted items, as a document opens with them; the first item of each counts."""
+    accepted = items.where(F.col("status").isin("approved", "edited") & F.col("section").isin("full_name", "job_title", "contact_info", "email"))
+    value = F.coalesce(_field("value"), F.col("raw_text"))
+    first = accepted.groupBy("doc_id", "section").agg(F.min_by(value, "item_ord").alias("value"))
+    place = F.array_position(F.array(*[F.lit(x) for x in ("full_name", "job_title", "contact_info", "email")]), F.col("section")).cast("int")
+    return first.select("doc_id", F.lit(0).alias("section_ord"), "section", place.alias("place"), F.posexplode(F.split("value", "\n")).alias("nth", "text")).select("doc_id", "section_ord", (F.col("place") * 1000 + F.col("nth")).alias("line_ord"), "text", F.col("section").alias("style"))
+
+
 def rendered(items: DataFrame) -> DataFrame:
     """(doc_id, section_ord, line_ord, text, style) of accepted items: headings of sections that have content, sub-headings where the group changes.
 
+    The texts of a biography are one paragraph; letterhead sections have no heading here (see ``letterhead_lines``).
+
     Editorial roles go by kind, unknown kinds last, else in item order. Empty sections and unmapped items leave no line.
     """
     accepted = items.where(F.col("status").isin("approved", "edited") & (F.col("section") != "unmapped"))
+    lives = accepted.where("section = 'biography'").groupBy("doc_id").agg(F.min("item_ord").alias("item_ord"), F.lit("biography").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ord", item_line().alias("line")))), lambda x: x["line"]), " ").alias("__life"))
+    accepted = accepted.where(~F.col("section").isin("biography", "full_name", "job_title", "contact_info", "email", "profile_photo")).withColumn("__life", F.lit(None).cast("string"))
+    accepted = accepted.unionByName(lives, allowMissingColumns=True)
     keys = F.array(*map(F.lit, vocab.SECTION_KEYS))
     headings = F.create_map(*[F.lit(x) for key, heading, label in vocab.SECTIONS for x in (key, heading or label.upper())])
     kinds = F.array(*map(F.lit, EDITORIAL_GROUPS))
@@ -54,7 +68,7 @@ def rendered(items: DataFrame) -> DataFrame:
     rank = F.when(F.col("section") == "editorial_roles", F.when(place > 0, place).otherwise(99)).otherwise(0)
     labels = lambda groups, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]), c)
     group = F.when(F.col("section") == "publications", labels(PUBLICATION_GROUPS, F.col("fields")["subgroup"])).when(F.col("section") == "editorial_roles", labels(EDITORIAL_GROUPS, F.col("fields")["kind"]))
-    rows = accepted.select("doc_id", "item_ord", "section", F.array_position(keys, F.col("section")).cast("int").alias("section_ord"), rank.alias("rank"), group.alias("group"), item_line().alias("text"))
+    rows = accepted.select("doc_id", "item_ord", "section", F.array_position(keys, F.col("section")).cast("int").alias("section_ord"), rank.alias("rank"), group.alias("group"), F.coalesce("__life", item_line()).alias("text"))
     w = Window.partitionBy("doc_id", "section_ord").orderBy("rank", "item_ord")
     rows = rows.withColumns({"n": F.row_number().over(w), "changed": F.col("group").isNotNull() & ~F.col("group").eqNullSafe(F.lag("group").over(w))})
     out = F.array_compact(F.array(

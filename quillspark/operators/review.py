@@ -109,16 +109,38 @@ def summary_report(items: DataFrame) -> DataFrame:
     pending = F.count_if(F.col("status") == "pending_review")
     return items.groupBy("doc_id").agg(
         F.count("*").alias("total_items"),
-        F.round(F.coalesce(F.avg(F.when(live, F.col("confidence"))), F.lit(0.0)), 3).alias("overall_confidence"),
+        F.round(F.coalesce(F.avg(F.when(live, F.col("confidence").cast("decimal(12,8)"))).cast("double"), F.lit(0.0)), 3).alias("overall_confidence"),
         pending.alias("pending_count"),
         F.count_if((F.col("status") == "approved") & F.array_contains("actions", "auto_approved")).alias("auto_approved_count"),
         mapped.alias("mapped_count"),
         loose.alias("unmapped_count"),
         F.round(F.coalesce(F.try_divide(mapped, mapped + loose), F.lit(0.0)), 3).alias("coverage"),
-        (pending == 0).alias("ready"),
+        ((pending == 0) & (F.count("*") > 0)).alias("ready"),
     )
 
 
+def mean_confidence(items: DataFrame, *keys: str, digits: int = 3) -> DataFrame:
+    """(keys, mean): the mean confidence of what isn't rejected, added up as decimals, so that it doesn't depend on the order of rows; 0 without any."""
+    live = F.when(F.col("status") != "rejected", F.col("confidence").cast("decimal(12,8)"))
+    return items.groupBy(*keys).agg(F.round(F.coalesce(F.avg(live).cast("double"), F.lit(0.0)), digits).alias("mean"))
+
+
+def stored(items: DataFrame) -> DataFrame:
+    """Items as they are kept: an id that reruns give again, confidence between 0 and 1, its band, and pending where no status is given."""
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
+    key = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "section", F.col("item_ord").cast("string"), F.coalesce("raw_text", F.lit(""))), 256)
+    return items.withColumns({"item_id": F.substring(key, 1, 32), "confidence": sure, "status": F.coalesce("status", F.lit("pending_review"))}).withColumn("band", T.band(F.col("confidence")))
+
+
+def remarks(items: DataFrame) -> DataFrame:
+    """(doc_id, duplicates, discarded, short): what a report says of single items: possible duplicates, rejected ones, accepted ones with a field too short to be one. Sorted lists."""
+    said = F.concat(F.col("section"), F.lit(": "), F.substring("raw_text", 1, 80))
+    every = lambda c: F.array_sort(F.collect_list(c))
+    listed = items.groupBy("doc_id").agg(every(F.when(F.array_contains("flags", "possible_duplicate_publication"), said)).alias("duplicates"), every(F.when(F.col("status") == "rejected", said)).alias("discarded"))
+    short = short_fields(items).groupBy("doc_id").agg(every(F.concat(F.col("section"), F.lit("."), F.col("field"), F.lit(": "), F.col("value"))).alias("short"))
+    return listed.join(short, "doc_id", "left").withColumn("short", F.coalesce("short", F.array().cast("array<string>")))
+
+
 def short_fields(items: DataFrame) -> DataFrame:
     """Accepted items with a field of one or two characters, sorted by field."""
     kinds = ["title", "employer", "unit", "institution", "subject", "project_title", "role", "funding_agency"]

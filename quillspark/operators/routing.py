@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import patterns as P
 from .. import vocab
 from ..functions import text as T
 from .review import merged_flags
@@ -17,7 +18,6 @@ def route(text: Column, rules: list[tuple[str, str]] = vocab.ROUTES, span: int =
     return F.array_min(F.filter(F.array(*places), lambda x: x["at"].isNotNull()))["section"]
 
 
-TRAINING = r"(?i)^(?:.*\b(?:certification|certificate|certified)\b|[\w .&'/-]+\bcourse\b\s*-\s*\S|.*-\s*(?:internship|certification|course)\s*$)"
 
 
 def reroute(items: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def reroute(items: DataFrame) -> DataFrame:
     """
     section, said = F.col("section"), F.col("raw_text")
     by_words = route(said)
-    scoped = F.when(section.isin("qualifications", "skills", "language_proficiency") & T.strip(said).rlike(r"(?i)^(?:" + "|".join(vocab.ACTION_VERBS) + r")\b"), "previous_employment").when((section == "skills") & T.strip(said).rlike(TRAINING), "qualifications")
+    scoped = F.when(section.isin("qualifications", "skills", "language_proficiency") & T.strip(said).rlike(P.ACTION_VERB), "previous_employment").when((section == "skills") & T.strip(said).rlike(P.TRAINING), "qualifications")
     target = F.when(by_words.isNull(), scoped).when((by_words == section) | by_words.isin(vocab.PROTECTED) | section.isin(vocab.PROTECTED), None).otherwise(by_words)
     moved = items.withColumn("__to", F.when(section.isin(vocab.ROUTABLE) & ~F.coalesce(F.col("authoritative"), F.lit(False)), target))
     moves = F.col("__to").isNotNull() & (F.col("__to") != section)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import patterns as P
 from ..functions import text as T
 from .headings import resolve
 
-PRACTICE = r"(?i)^(?:Special Projects and Conferences|Conference Presentations|Keynote Speeches)\b"
-BARE_TITLE = r"^[A-Z][A-Za-z .&'-]{1,50}$"
-EMPLOYER_LINE = r"^([A-Z][\w&'.-]*(?:\s+[A-Z][\w&'.-]*){0,2}),\s*([A-Za-z .]+),\s*([A-Z]{2,4})\s*[\(\s]*\s*((?:19|20)[0-9]{2})(?:\s*[-–—]\s*((?:19|20)[0-9]{2}|[Pp]resent|[Pp]resent [Tt]ime|[Cc]urrent))?"
 # What publications of a group are called, in the order in which names are tried.
 GROUPS = [("upcoming|forthcoming|in preparation|submitted", "forthcoming"), ("conference|presentation|symposium|panel", "conference"), ("blog|media|report|online|industry|government", "industry_government"), ("journal|peer-review|peer review", "journal"), ("book chapter|chapters|books", "book_chapter")]
 
@@ -20,8 +18,8 @@ def zones(lines: DataFrame) -> DataFrame:
     dated line before a bare title goes back to jobs. The last such event carries forward."""
     w = Window.partitionBy("doc_id", "section").orderBy("line_no")
     following = F.coalesce(T.strip(F.lead("line").over(w)), F.lit(""))
-    back = F.col("line").rlike(T.YEAR_RANGE) & following.rlike(BARE_TITLE) & T.has_title_word(following)
-    event = F.when(T.strip(F.col("line")).rlike(PRACTICE), "knowledge_exchange").when(back, "employment")
+    back = F.col("line").rlike(T.YEAR_RANGE) & following.rlike(P.BARE_TITLE) & T.has_title_word(following)
+    event = F.when(T.strip(F.col("line")).rlike(P.PRACTICE), "knowledge_exchange").when(back, "employment")
     rows = lines.withColumn("__event", event)
     return rows.withColumn("zone", F.coalesce(F.last("__event", ignorenulls=True).over(w), F.lit("employment"))).drop("__event")
 
@@ -31,9 +29,9 @@ def paired(items: DataFrame) -> DataFrame:
     date; the two become one item. An employer line is never a bare title, so pairs don't overlap."""
     w = Window.partitionBy("doc_id", "section").orderBy("item_no")
     text, following, before = T.strip(F.col("text")), T.strip(F.lead("text").over(w)), T.strip(F.lag("text").over(w))
-    title = lambda c: c.rlike(BARE_TITLE) & T.has_title_word(c) & ~c.rlike(r"[.;?!](?:\s|$)")
-    rows = items.withColumns({"__opens": F.coalesce(title(text) & following.rlike(EMPLOYER_LINE), F.lit(False)), "__taken": F.coalesce(text.rlike(EMPLOYER_LINE) & title(before), F.lit(False)), "__next": following})
-    part = lambda i: F.when(F.col("__opens"), F.trim(F.regexp_extract("__next", EMPLOYER_LINE, i)))
+    title = lambda c: c.rlike(P.BARE_TITLE) & T.has_title_word(c) & ~c.rlike(r"[.;?!](?:\s|$)")
+    rows = items.withColumns({"__opens": F.coalesce(title(text) & following.rlike(P.EMPLOYER_LINE), F.lit(False)), "__taken": F.coalesce(text.rlike(P.EMPLOYER_LINE) & title(before), F.lit(False)), "__next": following})
+    part = lambda i: F.when(F.col("__opens"), F.trim(F.regexp_extract("__next", P.EMPLOYER_LINE, i)))
     on = F.lower(part(5)).isin("present", "present time", "current")
     rows = rows.withColumns({"title": F.when(F.col("__opens"), text), "employer": part(1), "start_date": part(4), "end_date": F.when(on, "").otherwise(part(5)), "is_current": F.when(F.col("__opens"), on), "text": F.when(F.col("__opens"), F.concat_ws(" ", text, "__next")).otherwise(F.col("text"))})
     return rows.where(~F.col("__taken")).drop("__opens", "__taken", "__next")

@@ -79,7 +79,7 @@ _FX_GRANTS = Fixture("doc_id int, ord int, line string", ((1, 0, "Project Title:
 
 @register("grant_records", Fixture("doc_id int, grant_ord long, project_title string, role string, duration string, funding_agency string, value_to_university string", ((1, 1, "Water and Light", "Lead", "2020-2022", None, None), (1, 2, "Deep Roads", "Principal Investigator", "2025-2026", "Road Council", None), (2, 1, "A plain first project", None, None, None, None), (2, 2, "A second project of note, May 2019", None, None, None, None))).sql())
 def grant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.grants(_FX_GRANTS.frame(spark))
+    return fields.grants(_FX_GRANTS.frame(spark)).drop("ord", "line")
 
 
 _FX_LINKS = Fixture("doc_id int, line_no int, line string", ((1, 0, "linkedin.com/in/rin-ex"), (1, 1, "see https://www.linkedin.com/in/rin-example-long."), (1, 2, "ORCID iD: 0000-0001-2345-6789"), (2, 0, "https://orcid.org/0000-0002-0000-0001 github.com/rin")))
@@ -87,7 +87,7 @@ _FX_LINKS = Fixture("doc_id int, line_no int, line string", ((1, 0, "linkedin.co
 
 @register("identifiers", Fixture("doc_id int, platform string, url string", ((1, "LinkedIn", "https://www.linkedin.com/in/rin-example-long"), (1, "ORCID", "https://orcid.org/0000-0001-2345-6789"), (2, "GitHub", "https://github.com/rin"), (2, "ORCID", "https://orcid.org/0000-0002-0000-0001"))).sql())
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.identifiers(_FX_LINKS.frame(spark))
+    return fields.identifiers(_FX_LINKS.frame(spark)).drop("line")
 
 
 _FX_YEARS = Fixture("text string", (("2025-26",), ("1999 - 02",), ("2020-2021",), ("2020-09",), ("no year",), ("1950-10",)))
@@ -183,13 +183,15 @@ def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rendered(_items(spark, _FX_RENDER)).drop("doc_id")
 
 
-_FX_WRAPPED = Fixture("doc_id int, text string", ((1, "PROFESSIONAL ASSOCIATION|MEMBERSHIPS AND FELLOWSHIPS|Member of a guild"), (2, "TEACHING|AND|LEARNING|TEACHING"), (3, "K E Y S K I L L S|Python")))
+_FX_WRAPPED = Fixture("doc_id int, text string", ((1, "PROFESSIONAL ASSOCIATION|MEMBERSHIPS AND FELLOWSHIPS|Member of a guild"), (2, "TEACHING|AND|LEARNING|TEACHING"), (3, "K E Y S K I L L S|Python"), (4, "C A R E E R|I build bridges|O B J E C T I V E|and roads"), (5, "R I N E X A M P L E|S K I L L S"), (6, "CAREER|OBJECTIVE|BOOKS"), (7, "H O B B I E S|E D U C A T I O N")))
 
 
-@register("wrapped_headings", Fixture("doc_id int, merged string", ((1, "PROFESSIONAL ASSOCIATION MEMBERSHIPS AND FELLOWSHIPS|Member of a guild"), (2, "TEACHING AND LEARNING|TEACHING"), (3, "KEYSKILLS|Python"))).sql())
+@register("wrapped_headings", Fixture("doc_id int, merged string", ((1, "PROFESSIONAL ASSOCIATION MEMBERSHIPS AND FELLOWSHIPS|Member of a guild"), (2, "TEACHING AND LEARNING|TEACHING"), (3, "KEY SKILLS|Python"), (4, "CAREER OBJECTIVE|I build bridges|and roads"), (5, "R I N E X A M P L E|SKILLS"), (6, "CAREER OBJECTIVE|BOOKS"), (7, "HOBBIES|EDUCATION"))).sql())
 def wrapped_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _FX_WRAPPED.frame(spark).select("doc_id", F.transform(F.split("text", r"\|"), lambda x: lines.collapse_spaced(x)).alias("lines"))
-    return lines.merge_wrapped(docs, [p for p, _ in headings.PHRASES]).select("doc_id", F.array_join("lines", "|").alias("merged"))
+    rows = _FX_WRAPPED.frame(spark).select("doc_id", F.posexplode(F.split("text", r"\|")).alias("line_no", "line"))
+    phrases = [p for p, _ in headings.PHRASES]
+    merged = lines.merge_spaced(lines.merge_wrapped(rows, phrases), phrases)
+    return lines.gathered(merged).select("doc_id", F.array_join("lines", "|").alias("merged"))
 
 
 _PREDICATES = [("Date of birth: 1 May 1980", True, False), ("Springfield, IL 62704", True, False), ("Email", False, True), ("rin@uni.example", False, True), ("+10 55 555 0100", False, True), ("https://uni.example/rin", True, False), ("AWARDS AND RECOGNITIONS TEACHING AND LEARNING", True, False), ("Full-Time", True, False), ("Taught statistics", False, False)]
@@ -231,7 +233,7 @@ _FX_CV = Fixture("doc_id long, text string", ((1, _CV), (2, None), (3, "")))
 
 
 @register("structured_items", Fixture("section string, raw_text string, fields string, status string", (
-    ("email", "rin.example@uni.example", "value=rin.example@uni.example", "approved"),
+    ("email", "rin.example@uni.example | +10 55 555 0100", "value=rin.example@uni.example", "approved"),
     ("full_name", "RIN EXAMPLE", "value=RIN EXAMPLE", "approved"),
     ("job_title", "Senior Lecturer, West Academy, 2017 - Present", "value=Senior Lecturer", "pending_review"),
     ("contact_info", "+10 55 555 0100", "value=+10 55 555 0100", "approved"),
@@ -377,7 +379,7 @@ def seeded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("profile_id", "full_name", "job_title", F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("links"), F.array_join("memberships", "|").alias("memberships"))
 
 
-@register("drafted_biographies", Fixture("doc_id int, text string", ((1, "Dr. Rin Example works as an Economist; holds an MSc; has worked for 10 years."),)).sql())
+@register("drafted_biographies", Fixture("doc_id int, text string", ((1, "Dr. Rin Example works as an Economist and holds an MSc. Dr. Example has worked for 10 years."),)).sql())
 def drafted_biographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.biographies(_items(spark, _FX_FACTS), 2026)
 

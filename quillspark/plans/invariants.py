@@ -11,7 +11,7 @@ from ..operators import reconcile, render, rewrites
 LEAST_ITEMS = 5
 
 
-def breaches(items: DataFrame, docs: DataFrame) -> DataFrame:
+def breaches(items: DataFrame, docs: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """(rule, doc_id) of documents with text that break a rule.
 
     Enough items; a name that reads like one; a well-formed address; no item that is only a date; no echo
@@ -36,7 +36,7 @@ def breaches(items: DataFrame, docs: DataFrame) -> DataFrame:
     nameless = told.select("doc_id").join(items.where("section = 'email'").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("no email").alias("rule"))
     keys = ["doc_id", "item_ord", "section"]
     echoes = items.select(*keys).join(rewrites.drop_name_echoes(items).select(*keys), keys, "left_anti").select("doc_id", F.lit("name echo").alias("rule"))
-    invented = items.select(*keys).join(reconcile.verbatim(items, docs.where("text is not null")).select(*keys), keys, "left_anti").where(~section.isin("profiles_links", "contact_info")).select("doc_id", F.lit("verbatim").alias("rule"))
+    invented = items.select(*keys).join(reconcile.verbatim(items, docs.where("text is not null"), bodies).select(*keys), keys, "left_anti").where(~section.isin("profiles_links", "contact_info")).select("doc_id", F.lit("verbatim").alias("rule"))
     shown = render.rendered(items).where("style = 'heading' and text = 'UNMAPPED INFORMATION'").select("doc_id", F.lit("unmapped shown").alias("rule"))
     out = broken.select("rule", "doc_id")
     for more in (few, nameless, echoes, invented, shown):

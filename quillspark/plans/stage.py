@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; one is made only where none is named."""
+    """The same rows from a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; only a local session without one gets one made."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="quillspark-")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..catalog import register
 from ..functions import text as T
 from ..operators import lines as L
-from ..operators import commands, reconcile, review, routing
+from ..operators import commands, fields, reconcile, review, routing
 from ..streaming import audit
 from .tables import document_lines, score_items, table
 
@@ -99,18 +99,14 @@ def caps_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def section_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line with the last line in capitals above it; the shape alone counts here, as these documents have no headings."""
-    letters = F.regexp_replace("line", r"[^\p{L}]", "")
-    head = F.when((T.squash(F.col("line")) != "") & (F.char_length(T.strip(F.col("line"))) <= 100) & (F.char_length(letters) > 3) & (letters == F.regexp_replace("line", r"[^\p{Lu}]", "")), T.squash(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return document_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(vocab.TOP)).alias("context"))
+    return L.in_capitals(document_lines(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "context")
 
 
 @register("hyperlink_targets", """with h as (select page_id, html, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as url from pages)
     select page_id, rtrim(lower(url), '/') as key, min(url) as url, count(*) as n from h where not contains(regexp_replace(html, '<[^>]*>', '', 'g'), url) group by 1, 2""")
 def hyperlink_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link targets that the visible text doesn't show, once each."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "").alias("shown"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("url"))
-    return links.where(~F.contains("shown", F.col("url"))).groupBy("page_id", F.rtrim(F.lower("url"), F.lit("/")).alias("key")).agg(F.min("url").alias("url"), F.count("*").alias("n"))
+    return fields.link_targets(table(spark, sf_dir, "pages"))
 
 
 _ROUTED = [("the", r"\bthe\b"), ("and", r"\band\b"), ("of", r"\bof\b"), ("that", r"\bthat\b"), ("with", r"\bwith\b")]
@@ -118,13 +114,13 @@ _ROUTED = [("the", r"\bthe\b"), ("and", r"\band\b"), ("of", r"\bof\b"), ("that",
 
 @register(
     "route_by_first_word",
-    "with d as (select doc_id, lower(substr(text, 1, 60)) as head from documents where lang = 'en'), p as (select doc_id, ["
+    f"with d as (select doc_id, substr({_FOLD}, 1, 60) as head from documents), p as (select doc_id, ["
     + ", ".join(rf"{{'at': case when regexp_matches(head, '{p}') then length(regexp_extract(head, '^(?s:.*?){p}')) - {len(w)} + 1 end, 'i': {i}, 'w': '{w}'}}" for i, (w, p) in enumerate(_ROUTED))
     + "] as places from d) select doc_id, list_sort(list_filter(places, lambda x: x.at is not null))[1].w as word from p",
 )
 def route_by_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest of some words in the head of a document, by the operator that routes items; the vocabulary is a stand-in."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", routing.route(F.col("text"), [(p, w) for w, p in _ROUTED]).alias("word"))
+    return table(spark, sf_dir, "documents").select("doc_id", routing.route(F.col("text"), [(p, w) for w, p in _ROUTED]).alias("word"))
 
 
 _SCORES = "select l_suppkey as doc_id, l_orderkey * 10 + l_linenumber as item_ord, case when l_linenumber = 7 then 'unmapped' else 'section' || l_linenumber end as section, round(1 - l_discount * 5, 4) as confidence, l_tax > 0.06 as flagged, case l_returnflag when 'A' then 'approved' when 'N' then 'pending_review' else 'rejected' end as status from lineitem"
@@ -158,18 +154,21 @@ def overlapping_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.overlapping(rows, "o_custkey", "s", "e", "o_orderkey").where("overlaps").select("o_orderkey", "o_custkey")
 
 
-@register("duplicate_citations", f"with d as (select doc_id, source, nullif(substr({_squash('lower(text)')}, 1, 120), '') as key from documents where lang = 'en') select doc_id from d where key is not null qualify count(*) over (partition by source, key) > 1")
-def duplicate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents of a source whose first 120 characters agree; ``duplicate_citations_all`` has those of all documents."""
-    return _duplicates(table(spark, sf_dir, "documents").where("lang = 'en'"))
+_DUPLICATES = f"with d as (select doc_id, source, nullif(substr({_squash(_FOLD)}, 1, 120), '') as key from documents) select doc_id from d where key is not null qualify count(*) over (partition by source, key) > 1"
 
 
-@register("duplicate_citations_all", f"with d as (select doc_id, source, nullif(substr({_squash(_FOLD)}, 1, 120), '') as key from documents) select doc_id from d where key is not null qualify count(*) over (partition by source, key) > 1")
-def duplicate_citations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("duplicate_citations", _DUPLICATES)
+def duplicate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source, in any language or none, whose first 120 characters agree; ASCII letters alone are folded, as other case rules differ."""
     return _duplicates(table(spark, sf_dir, "documents"), lambda c: F.translate(c, _UPPER, _UPPER.lower()))
 
 
+@register("duplicate_citations_all", _DUPLICATES)
+def duplicate_citations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows under the name that they had while ``duplicate_citations`` covered English documents only."""
+    return duplicate_citations(spark, sf_dir)
+
+
 def _duplicates(docs: DataFrame, lower: Callable[[Column], Column] = F.lower) -> DataFrame:
     """Documents of a source that agree, by the operator that flags duplicate publications."""
     none = F.array().cast("array<string>")
@@ -186,17 +185,26 @@ def quality_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.section_report(review.row_flags(score_items(spark, sf_dir)), catalogue)
 
 
-@register("quality_report_summary", f"with i as ({_SCORES}) select doc_id, count(*) as total_items, coalesce(count(*) filter (status <> 'rejected' and confidence >= 0.9), 0) as high_count, count(*) filter (status = 'pending_review') as pending_count, cast(0 as bigint) as auto_approved_count, count(*) filter (status <> 'rejected' and section <> 'unmapped') as mapped_count, count(*) filter (status <> 'rejected' and section = 'unmapped') as unmapped_count, round(coalesce(mapped_count / nullif(cast(mapped_count + unmapped_count as double), 0), 0.0), 3) as coverage, pending_count = 0 as ready from i group by doc_id")
+_APPROVED = "status = 'pending_review' and confidence >= 0.75 and not flagged"
+
+
+@register(
+    "quality_report_summary",
+    f"""with s as ({_SCORES}), i as (select * replace (case when {_APPROVED} then 'approved' else status end as status), {_APPROVED} as automatic from s)
+    select doc_id, count(*) as total_items, coalesce(count(*) filter (status <> 'rejected' and confidence >= 0.9), 0) as high_count, round(coalesce(cast(sum(cast(confidence as decimal(12, 8))) filter (status <> 'rejected') as double) / nullif(count(*) filter (status <> 'rejected'), 0), 0), 3) as overall_confidence,
+    count(*) filter (status = 'pending_review') as pending_count, count(*) filter (automatic) as auto_approved_count, count(*) filter (status <> 'rejected' and section <> 'unmapped') as mapped_count, count(*) filter (status <> 'rejected' and section = 'unmapped') as unmapped_count,
+    round(coalesce(mapped_count / nullif(cast(mapped_count + unmapped_count as double), 0), 0.0), 3) as coverage, pending_count = 0 as ready from i group by doc_id""",
+)
 def quality_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document report but its mean confidence, a floating sum whose last digit depends on the order of rows; see ``mean_confidence``."""
-    items = score_items(spark, sf_dir)
+    """The report of each document after items that are sure were approved."""
+    items = review.approve(review.row_flags(score_items(spark, sf_dir)))
     high = items.groupBy("doc_id").agg(F.count_if((F.col("status") != "rejected") & (F.col("confidence") >= 0.9)).alias("high_count"))
-    return review.summary_report(items).drop("overall_confidence").join(high, "doc_id")
+    return review.summary_report(items).join(high, "doc_id")
 
 
-@register("mean_confidence", f"with i as ({_SCORES}) select section, round(coalesce(avg(confidence) filter (status <> 'rejected'), 0), 6) as mean from i group by section")
+@register("mean_confidence", f"with i as ({_SCORES}) select section, round(coalesce(cast(sum(cast(confidence as decimal(12, 8))) filter (status <> 'rejected') as double) / nullif(count(*) filter (status <> 'rejected'), 0), 0), 6) as mean from i group by section")
 def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_items(spark, sf_dir).groupBy("section").agg(F.round(F.coalesce(F.avg(F.when(F.col("status") != "rejected", F.col("confidence"))), F.lit(0.0)), 6).alias("mean"))
+    return review.mean_confidence(score_items(spark, sf_dir), "section", digits=6)
 
 
 @register("unmapped_heading_dashboard", """with e as (select event_id, user_id, 'k' || regexp_extract(props, '"k": *([0-9]+)', 1) as context, event_type as value from events),
@@ -210,40 +218,34 @@ def unmapped_heading_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.unmapped_headings(rows, taught)
 
 
-@register("mapping_suggestions", """with g as (select l_orderkey, l_linestatus, count(*) as n, count(distinct l_suppkey) as docs from lineitem group by 1, 2),
+_SUGGESTED = """with g as (select l_orderkey, l_linestatus, count(*) as n, count(distinct l_suppkey) as docs from lineitem group by 1, 2),
     b as (select l_orderkey, sum(n) as all_n, max({'n': n, 'docs': docs, 's': l_linestatus}) as top from g group by 1),
-    a as (select l_orderkey, count(distinct l_suppkey) as all_docs from lineitem group by 1)
-    select cast(l_orderkey as varchar) as context, top.s as suggested_section, top.docs as cv_count, top.n as occurrences, round(top.n / cast(all_n as double), 2) as agreement from b join a using (l_orderkey) where all_docs >= 2 and top.n / cast(all_n as double) >= 0.7""")
+    a as (select l_orderkey, count(distinct l_suppkey) as all_docs from lineitem group by 1),
+    c as (select cast(l_orderkey as varchar) as context, top.s as suggested_section, top.docs as cv_count, top.n as occurrences, round(top.n / cast(all_n as double), 2) as agreement from b join a using (l_orderkey) where all_docs >= 2 and top.n / cast(all_n as double) >= 0.7)
+    select * from c"""
+
+
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linestatus").alias("section"), F.col("l_orderkey").cast("string").alias("context"), F.lit("").alias("value"), F.col("l_linenumber").alias("item_ord"))
+
+
+@register("mapping_suggestions", _SUGGESTED)
 def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose lines mostly share a status, as headings whose corrections mostly share a section; all of them, not the top."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linestatus").alias("section"), F.col("l_orderkey").cast("string").alias("context"), F.lit("").alias("value"), F.col("l_linenumber").alias("item_ord"))
-    return review.suggested_mappings(rows, top=None)
+    """Orders whose lines mostly share a status, as headings whose corrections mostly share a section: all of them."""
+    return review.suggested_mappings(_corrections(spark, sf_dir), top=None)
+
+
+@register("top_mapping_suggestions", _SUGGESTED + " order by cv_count desc, occurrences desc, context limit 20")
+def top_mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the top twenty."""
+    return review.suggested_mappings(_corrections(spark, sf_dir))
 
 
 @register("verbatim_guard", f"select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text) or contains({_squash('d.text')}, {_squash('b.text')})")
 def verbatim_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages that stand in documents word for word.
-
-    A passage of three words or more is contained where its inner words are, six of them at most: documents and passages
-    meet on a hash of these, for each width that the passages have, so that no pair is compared without a reason.
-    A passage of fewer words has no inner word and is looked for in every document.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), T.squash(F.col("text")).alias("norm"))
-    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("passage"), T.squash(F.col("text")).alias("pnorm"))
-    # inner words only: the first and last of a passage may be parts of longer words
-    items = items.withColumn("w", F.split("pnorm", " ")).withColumn("width", F.least(F.size("w") - 2, F.lit(6)))
-    widths = {r["width"]: r["n"] for r in items.groupBy("width").agg(F.count("*").alias("n")).collect()}
-    stands = F.contains("whole", F.col("passage")) | F.contains("norm", F.col("pnorm"))
-    asked = items.where("width > 0").withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("width")), " ")))
-    shingles = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))).otherwise(F.array().cast("array<bigint>"))
-    keys = F.concat(F.array().cast("array<bigint>"), *[shingles(k) for k in sorted(widths) if k > 0])
-    offered = docs.withColumn("w", F.split("norm", " ")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-    met = offered.join(asked.select("item_id", "key", "pnorm", "passage"), "key").join(docs, "doc_id").where(stands).select("item_id", "doc_id")
-    few = sum(n for k, n in widths.items() if k <= 0)
-    if few:
-        short = items.where("width <= 0").select("item_id", "pnorm", "passage")
-        met = met.unionByName(docs.join(F.broadcast(short) if few <= 200_000 else short, stands).select("item_id", "doc_id"))
-    return met.distinct()
+    """Benchmark passages that stand in documents word for word."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return reconcile.quoted(passages, table(spark, sf_dir, "documents"), "item_id")
 
 
 @register("profile_prefill", """select s_suppkey as doc_id, 'contact_info' as section, 'desk ' || s_nationkey as value, 'profile' as origin from supplier where s_acctbal > 0
@@ -264,10 +266,7 @@ def profile_prefill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("audit_timeline", "select event_id, user_id, event_type, coalesce(lag(event_type) over w, '') as previous, coalesce(cast(date_diff('microsecond', lag(ts) over w, ts) as bigint), -1) as waited_us, row_number() over w as step from events window w as (partition by user_id order by ts, event_id)")
 def audit_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event of a user with the one before it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before = F.lag("ts").over(w)
-    waited = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.coalesce(F.lag("event_type").over(w), F.lit("")).alias("previous"), F.coalesce(waited, F.lit(-1)).alias("waited_us"), F.row_number().over(w).cast("long").alias("step"))
+    return audit.timeline(table(spark, sf_dir, "events"))
 
 
 @register("missing_mandatory", "select d.c_custkey as doc_id, s.section from customer d, (select unnest(['full_name', 'email']) as section) s where not (s.section = 'full_name' and c_custkey % 3 <> 0 or s.section = 'email' and c_custkey % 4 <> 0)")
@@ -280,15 +279,13 @@ def missing_mandatory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("last_write_wins", "select user_id, arg_max(event_type, {'ts': ts, 'event_id': event_id}) as status, max(ts) as at, count(*) as writes from events group by user_id")
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upsert of keyed rows: of each key the last write."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"), F.count("*").alias("writes"))
+    return audit.latest_status(table(spark, sf_dir, "events"))
 
 
 @register("page_font_mode", "with m as (select p_brand, p_size, count(*) as n from part group by 1, 2), b as (select p_brand, arg_max(p_size, {'n': n, 's': -p_size}) as body from m group by 1) select p_partkey, p_size from part join b using (p_brand) where p_size >= 1.15 * body")
 def page_font_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows well above the most common size of their group, as headings stand out from the body by their font."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    body = part.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.max_by("p_size", F.struct("n", -F.col("p_size"))).alias("body"))
-    return part.join(body, "p_brand").where(F.col("p_size") >= 1.15 * F.col("body")).select("p_partkey", "p_size")
+    return L.outsized(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size").select("p_partkey", "p_size")
 
 
 @register("audit_counts", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
@@ -301,3 +298,39 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bulk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending items of one section and band rejected at once."""
     return commands.bulk_status(score_items(spark, sf_dir), "rejected", "section2", "medium").groupBy("section", "status").agg(F.count("*").alias("n"))
+
+
+@register("garbled_documents", f"""with t as (select doc_id, list_filter(string_split({_squash('text')}, ' '), lambda x: x <> '') as tokens from documents),
+    r as (select doc_id, len(tokens) as n, list_filter(string_split(array_to_string(list_transform(tokens, lambda x: case when regexp_full_match(x, '\\pL') then 'a' else '|' end), ''), '|'), lambda x: length(x) between 1 and 5) as runs from t)
+    select doc_id, n >= 100 and coalesce(list_sum(list_transform(runs, lambda x: length(x))), 0) / cast(n as double) > 0.12 as garbled from r""")
+def garbled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents too garbled to be read."""
+    return L.unreadable(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("garbled", F.lit(False)).alias("garbled"))
+
+
+@register("longest_headers", f"with h as (select doc_id, {_squash('line')} as norm from {_LINES} where length({_strip('line')}) > 12 group by 1, 2 having count(*) >= 3) select doc_id, norm, row_number() over (partition by doc_id order by length(norm) desc, norm) as place from h")
+def longest_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page headers of a document, the longest first."""
+    return L.longest_first(L.repeated_lines(document_lines(spark, sf_dir))).select("doc_id", "norm", "place")
+
+
+@register("structured_documents", f"""with d as (select doc_id, text from documents where text is not null)
+    select doc_id, nullif(regexp_extract(text, '{T.EMAIL}'), '') as email, cast(0 as bigint) as invented, cast(0 as bigint) as unknown, cast(0 as bigint) as misshapen, cast(0 as bigint) as banded_wrong, true as ids from d""")
+def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow over every document, held to what must come out of any text: the first address as the address, no item whose text isn't
+    in the document, none in an unknown section, none that is only a date, bands that follow confidence, an id for every item and no id twice."""
+    from . import structure
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    items = structure.staged(structure.processed(docs, 2026))
+    fine = reconcile.verbatim(items, docs, structure.copies(docs)).select("item_id").distinct()
+    drafted = F.array_contains("flags", "drafted_not_extracted")
+    judged = items.join(fine.withColumn("quoted", F.lit(True)), "item_id", "left").withColumn("quoted", F.coalesce("quoted", F.lit(False)) | drafted)
+    per = judged.groupBy("doc_id").agg(
+        F.min(F.when(F.col("section") == "email", F.col("fields")["value"])).alias("email"),
+        F.count_if(~F.col("quoted")).alias("invented"), F.count_if(~F.col("section").isin(vocab.SECTION_KEYS)).alias("unknown"),
+        F.count_if(F.col("raw_text").rlike(T.DATE_ONLY) & (F.col("section") != "unmapped")).alias("misshapen"), F.count_if(F.col("band") != T.band(F.col("confidence"))).alias("banded_wrong"),
+        (F.count("*") == F.count_distinct("item_id")).alias("ids"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", "email", zero("invented"), zero("unknown"), zero("misshapen"), zero("banded_wrong"), F.coalesce("ids", F.lit(True)).alias("ids"))

@@ -98,13 +98,13 @@ def docx_lines(content: bytes) -> list[str]:
 READERS: dict[str, Callable[[bytes], list[str]]] = {"docx": docx_lines}
 
 
-def read_files(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
-    """(path, text, error) of the files under ``path``: text joined by line breaks, or why there is none. Files are read where they lie, one by one."""
+def texts(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
+    """``files(path, content, error)`` with ``text`` in place of content: lines joined by breaks, or why there is none. Files are read where they lie, one by one."""
     known = {**READERS, **(readers or {})}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, errors = [], []
+            found, errors = [], []
             for p, content, error in zip(*(b.column(c).to_pylist() for c in ("path", "content", "error")), strict=True):
                 text = None
                 if error is None:
@@ -113,9 +113,17 @@ def read_files(spark: SparkSession, path: str, readers: dict[str, Callable[[byte
                         text, error = ("\n".join(reader(content)), None) if reader else (None, "no reader for this type")
                     except Unreadable as e:
                         error = str(e)
-                texts.append(text)
+                found.append(text)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+            rest = [b.column(i) for i, name in enumerate(b.schema.names) if name not in ("content", "error")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(errors, pa.string())], names)
+
+    kept = [f for f in files.schema.fields if f.name not in ("content", "error")]
+    names = [*(f.name for f in kept), "text", "error"]
+    return files.select(*[f.name for f in kept], "content", "error").mapInArrow(read, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "text string, error string"]))
 
+
+def read_files(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
+    """(path, text, error) of the files under ``path``."""
     files = guarded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-    return files.select("path", "content", "error").mapInArrow(read, "path string, text string, error string")
+    return texts(files.select("path", "content", "error"), readers)
