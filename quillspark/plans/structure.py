@@ -53,14 +53,14 @@ def sectioned(body: DataFrame, taught: DataFrame | None = None) -> DataFrame:
     return staged(headings.assign_sections(staged(known)))
 
 
-def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int = 2026) -> DataFrame:
+def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int = 2026, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Items of ``docs(doc_id, text)``: (doc_id, item_ord, section, fields, raw_text, confidence, flags, status, actions).
 
     Every step is partitioned by document; vocabularies are constants in the plan, and only fuzzy
     headings leave the JVM. The rows of each stage are written once (see ``staged``). A null or empty text gives no items. A column
-    ``document`` may name the file that a text is from; names of owners are looked for in it.
+    ``document`` may name the file that a text is from; names of owners are looked for in it. ``parts`` are the ``bodies`` of the documents, if they are known.
     """
-    raw, body, furniture = bodies(docs, taught)
+    raw, body, furniture = parts or bodies(docs, taught)
     placed = sectioned(body, taught)
     officially = placed.where("is_heading").groupBy("doc_id", "section").agg(F.max("authoritative").alias("authoritative"))
     line = F.col("line")
@@ -116,13 +116,13 @@ def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int =
     return staged(rewrites.clean_titles(rewrites.guess_title(found)))
 
 
-def structured(docs: DataFrame, taught: DataFrame | None = None, threshold: float = vocab.APPROVE, classify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def structured(docs: DataFrame, taught: DataFrame | None = None, threshold: float = vocab.APPROVE, classify: Callable[[DataFrame], DataFrame] | None = None, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Items validated, approved where sure, and cross-checked.
 
     ``classify(docs)`` may take the place of the rules and give items of its own; those whose source text doesn't stand in the
     document are dropped, and a document for which it gives none goes by the rules, with a flag.
     """
-    found = items_of(docs, taught) if classify is None else _advised(docs, taught, classify)
+    found = items_of(docs, taught, parts=parts) if classify is None else _advised(docs, taught, classify)
     return routing.disagreements(review.approve(review.validate(found), threshold))
 
 
@@ -133,9 +133,9 @@ def _advised(docs: DataFrame, taught: DataFrame | None, classify: Callable[[Data
     return said.select(*ruled.columns).unionByName(ruled)
 
 
-def copies(docs: DataFrame, taught: DataFrame | None = None) -> DataFrame:
+def copies(docs: DataFrame, taught: DataFrame | None = None, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc_id, text): documents without page furniture, and with headings put together as well; what an item quotes may stand only there."""
-    raw, body, furniture = bodies(docs, taught)
+    raw, body, furniture = parts or bodies(docs, taught)
     joined = lambda rows: lines.gathered(rows).select("doc_id", F.array_join("lines", "\n").alias("text"))
     return joined(lines.without_furniture(raw, furniture)).unionByName(joined(body)).unionByName(joined(lines.split_caps_runs(body).select("doc_id", F.struct("line_no", "piece").alias("line_no"), "line")))
 
@@ -146,9 +146,9 @@ def left_over(docs: DataFrame, items: DataFrame, taught: DataFrame | None = None
     return reconcile.uncovered(rows, items)
 
 
-def processed(docs: DataFrame, this_year: int, taught: DataFrame | None = None, threshold: float = vocab.APPROVE, classify: Callable[[DataFrame], DataFrame] | None = None, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def processed(docs: DataFrame, this_year: int, taught: DataFrame | None = None, threshold: float = vocab.APPROVE, classify: Callable[[DataFrame], DataFrame] | None = None, write: Callable[[DataFrame], DataFrame] | None = None, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """All items that an upload leads to, as they are stored: structured ones, what nothing covers, and drafted biographies, with ids and bands."""
-    found = staged(structured(docs, taught, threshold, classify))
+    found = staged(structured(docs, taught, threshold, classify, parts))
     rest = reconcile.unmapped_items(left_over(docs, found, taught))
     drafts = enrich.biography_items(found, this_year, write)
     columns = found.columns

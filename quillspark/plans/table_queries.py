@@ -322,8 +322,9 @@ def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import structure
 
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    items = structure.staged(structure.processed(docs, 2026))
-    fine = reconcile.verbatim(items, docs, structure.copies(docs)).select("item_id").distinct()
+    parts = structure.bodies(docs)
+    items = structure.staged(structure.processed(docs, 2026, parts=parts))
+    fine = reconcile.verbatim(items, docs, structure.copies(docs, parts=parts)).select("item_id").distinct()
     drafted = F.array_contains("flags", "drafted_not_extracted")
     judged = items.join(fine.withColumn("quoted", F.lit(True)), "item_id", "left").withColumn("quoted", F.coalesce("quoted", F.lit(False)) | drafted)
     per = judged.groupBy("doc_id").agg(

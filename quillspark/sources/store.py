@@ -55,7 +55,7 @@ class Store:
 
     def delete(self, table: str, gone: DataFrame, keys: list[str] | None = None) -> DataFrame | None:
         have = self.read(table)
-        return None if have is None else self.write(table, have.join(gone, keys or KEYS[table], "left_anti"))
+        return None if have is None else self.write(table, have.join(gone, keys or KEYS[table], "left_anti").select(*have.columns))
 
     def update(self, table: str, where: Column, **values: Column) -> DataFrame | None:
         have = self.read(table)
@@ -85,4 +85,4 @@ def latest(rows: DataFrame, keys: list[str], at: str | None = None) -> DataFrame
 
 def merged(have: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``have`` with the rows that share a key with ``rows`` replaced by these."""
-    return have.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    return have.join(rows.select(*keys).distinct(), keys, "left_anti").select(*have.columns).unionByName(rows, allowMissingColumns=True)
