@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from ..patterns import (BULLET, CALENDAR_YEAR, DATE_ANCHOR, DATE_ONLY, EMAIL, EN
 
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often and in whatever lambda it is used; null for a null."""
+    return F.when(value.isNotNull(), F.get(F.transform(F.array(value), body), F.lit(0)))
+
+
 def constant(v: object) -> str:
     """A literal as SQL text: constant tables are parsed in one piece instead of being built cell by cell."""
     return str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
