@@ -279,7 +279,7 @@ def missing_mandatory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("last_write_wins", "select user_id, arg_max(event_type, {'ts': ts, 'event_id': event_id}) as status, max(ts) as at, count(*) as writes from events group by user_id")
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upsert of keyed rows: of each key the last write."""
-    return audit.latest_status(table(spark, sf_dir, "events"))
+    return audit.last_writes(table(spark, sf_dir, "events"))
 
 
 @register("page_font_mode", "with m as (select p_brand, p_size, count(*) as n from part group by 1, 2), b as (select p_brand, arg_max(p_size, {'n': n, 's': -p_size}) as body from m group by 1) select p_partkey, p_size from part join b using (p_brand) where p_size >= 1.15 * body")

@@ -13,11 +13,16 @@ def counts_by_window(events: DataFrame, width: str = "1 hour", late: str = "10 m
     return timed.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def latest_status(events: DataFrame) -> DataFrame:
+def last_writes(events: DataFrame) -> DataFrame:
     """(user_id, status, at, writes): the last event of each user, of equals in time the one with the greatest id. One shuffle, pre-aggregated."""
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"), F.count("*").alias("writes"))
 
 
+def latest_status(events: DataFrame) -> DataFrame:
+    """The last event of each user."""
+    return last_writes(events).select("user_id", "status")
+
+
 def timeline(events: DataFrame) -> DataFrame:
     """(event_id, user_id, event_type, previous, waited_us, step): each event of a user with the one before it and the time between."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
