@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ BROADCAST_ROWS = 200_000
 #: Rows of one key of a join that go to one task; a key with more is dealt out.
 HOT_ROWS = 1 << 14
 
+#: Texts that a Python worker holds at a time.
+SLICE = 256
+
 #: Whitespace that separates words: space and U+0009 to U+000D.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -96,6 +100,13 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, to: str, how: str =
     return dealt.join(copies, (dealt[key] == copies[to]) & (dealt["__salt"] == copies["__part"]), how).drop(to, "__salt", "__part")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that only few texts at a time are held as Python objects beside their batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def row_key() -> Column:
     """A key of a document row, also for null or repeated ids: equal rows share it."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -63,7 +63,7 @@ def index(docs: DataFrame) -> DataFrame:
             blobs = [b" ".join(number), sizes.tobytes(), postings.tobytes()]
             return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in blobs)], ["first", "doc_ids", "row_keys", "starts", "counts", "terms", "sizes", "postings"])
 
-        for b in batches:
+        for b in slices(batches):
             for i, k, t in zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = words(t)
                 if ids and held + len(w) > SEGMENT_TOKENS:

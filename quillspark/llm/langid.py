@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SLICE, slices, table
 
 #: Hashed dimensions of the n-gram vectors.
 DIMS = 1 << 12
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Mo
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(shares, F.col("language")) * float(1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("body").to_pylist()
             keep = [k for k, t in enumerate(texts) if has_letter(t)]
             folded = [folded_bytes(texts[k]) for k in keep]
@@ -167,11 +167,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                lang, score, rejected = model.predict(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "row_key", "lang_pred", "score", "rejected"])
+        for b in slices(batches):
+            lang, score, rejected = model.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "row_key", "lang_pred", "score", "rejected"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     return slim.mapInArrow(predicted, "doc_id long, row_key long, lang_pred string, score double, rejected boolean")
@@ -184,8 +182,8 @@ def accepted(model: Model):
     def fits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in texts:
             out = []
-            for at in range(0, len(whole), 256):
-                out += [not x for x in model.predict(whole.slice(at, 256).to_pylist())[2]]
+            for at in range(0, len(whole), SLICE):
+                out += [not x for x in model.predict(whole.slice(at, SLICE).to_pylist())[2]]
             yield pa.array(out, pa.bool_())
 
     return fits

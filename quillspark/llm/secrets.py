@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: In the order in which spans of one start are listed. The first three are the base kinds.
 KINDS = ["assign", "access", "hex", "github", "npm", "jwt", "key_block"]
@@ -145,7 +145,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for b in batches:
+        for b in slices(batches):
             spans = [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in scan(t, automaton)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, spread_join, table
+from .common import cut, slices, small, spread_join, table
 from .components import connected_components
 
 WORDS = 4
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, fp) of every row; fp is the fingerprint's 64 bits as a long."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(fps, pa.int64())], ["doc_id", "row_key", "fp"])
 
