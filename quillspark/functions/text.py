@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import patterns as P
@@ -15,7 +15,17 @@ from ..patterns import (BULLET, CALENDAR_YEAR, DATE_ANCHOR, DATE_ONLY, EMAIL, EN
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for a row, however often and in whatever lambda it is used; null for a null."""
-    return F.when(value.isNotNull(), F.get(F.transform(F.array(value), body), F.lit(0)))
+    return F.get(F.transform(F.array(value), lambda x: F.when(x.isNotNull(), body(x))), F.lit(0))
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once for a row, however often they are used and filtered by.
+
+    A generator of one row stands between them and their uses: a planner moves no filter through it, and so never
+    puts a costly expression in the place of each use.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.struct(*[c.alias(name) for name, c in columns.items()]).alias("__settled")).select(*kept, F.inline(F.array("__settled")))
 
 
 def constant(v: object) -> str:
@@ -35,7 +45,7 @@ def constant_rows(names: str, rows: list[tuple]) -> Column:
 
 def squash(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r" \s+|[\t\n\x0B\f\r]\s*", " "))  # single spaces stay as they are
 
 
 def strip(c: Column) -> Column:
@@ -43,12 +53,16 @@ def strip(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.when(squash(c) == "", 0).otherwise(F.size(F.split(squash(c), " ")))
+    return F.get(F.transform(F.array(squash(c)), lambda s: F.when(s == "", 0).otherwise(F.size(F.split(s, " ")))), F.lit(0))
 
 
 def n_chars(c: Column, kind: str) -> Column:
     """Characters of a Unicode class."""
-    return F.char_length(F.regexp_replace(c, rf"[^{kind}]", ""))
+    return F.char_length(F.regexp_replace(c, rf"[^{kind}]+", ""))
+
+
+def has_email(c: Column) -> Column:
+    return c.contains("@") & c.rlike(EMAIL)
 
 
 def emails(c: Column) -> Column:
@@ -58,7 +72,8 @@ def emails(c: Column) -> Column:
 def phones(c: Column) -> Column:
     """Phone numbers: a plus sign or nine digits tell them from bracketed years."""
     found = F.transform(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)), lambda x: strip(x))
-    return F.filter(found, lambda x: x.startswith("+") | (F.char_length(F.regexp_replace(x, "[^0-9]", "")) >= 9))
+    told = F.filter(found, lambda x: x.startswith("+") | (F.char_length(F.regexp_replace(x, "[^0-9]", "")) >= 9))
+    return F.when(c.rlike(r"[0-9][0-9\s().\-]{7}"), told).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def has_phone(c: Column) -> Column:
@@ -72,11 +87,10 @@ def caps_share(c: Column) -> Column:
 
 def heading_shaped(raw: Column) -> Column:
     """A line of up to 100 characters and ten words that ends in a colon or is mostly in capitals, and is no sentence."""
-    text = strip(raw)
-    return (
+    return let(strip(raw), lambda text: (
         (text != "") & (F.char_length(text) <= 100) & (n_words(normal_heading(text)) <= 10) & ~text.rlike(r"[.!?,;]$")
         & (n_chars(text, r"\p{L}") > 0) & (text.endswith(":") | (F.coalesce(caps_share(text), F.lit(0.0)) >= 0.7))
-    )
+    ))
 
 
 def repeated_heading_shaped(raw: Column) -> Column:
@@ -93,7 +107,7 @@ def normal_heading(line: Column) -> Column:
 
 def prose(text: Column) -> Column:
     """Ten words or more, no contact data, not mostly in capitals."""
-    return (n_words(text) >= 10) & ~has_phone(text) & ~text.rlike(EMAIL) & ~(F.coalesce(caps_share(text), F.lit(0.0)) >= 0.6)
+    return (n_words(text) >= 10) & ~has_phone(text) & ~has_email(text) & ~(F.coalesce(caps_share(text), F.lit(0.0)) >= 0.6)
 
 
 def has_title_word(text: Column) -> Column:
@@ -120,7 +134,7 @@ def person_name(line: Column, heading_key: Column) -> Column:
 
 def letter_spaced(line: Column) -> Column:
     """Six single letters or more, and nothing else."""
-    return strip(line).rlike(r"^\p{L}(?:\s+\p{L}){5,}$")
+    return line.rlike(r"^\s*\p{L}(?:\s+\p{L}){5,}\s*$")
 
 
 
@@ -134,31 +148,39 @@ def collapsed_name(text: Column, heading_key: Column) -> Column:
 def unspaced_name(line: Column) -> Column:
     """A letter-spaced line put together, without the signs at its end; null for other lines."""
     bare = F.regexp_replace(strip(line), r"(?:\s+[^\p{L}\s])+$", "")
-    return F.when(letter_spaced(bare), F.regexp_replace(bare, r"\s+", ""))
+    return F.when(line.rlike(r"^\s*\p{L}\s") & letter_spaced(bare), F.regexp_replace(bare, r"\s+", ""))
 
 
 def several_headings(line: Column) -> Column:
     """A line that is two or more official headings run together."""
-    names = sorted((n for n in _official_names()), key=len, reverse=True)
-    return normal_heading(line).rlike(r"^(?:(?:" + "|".join(names) + r")\s*){2,}$")
+    return normal_heading(line).rlike(SEVERAL)
 
 
 def _official_names() -> list[str]:
     return [h.replace("–", "-").replace("—", "-") for key, h, _ in vocab.SECTIONS if h and key != "full_name"]
 
 
+SEVERAL = r"^(?:(?:" + "|".join(sorted(_official_names(), key=len, reverse=True)) + r")\s*){2,}$"
+
+
 def junk(line: Column) -> Column:
     """Personal details, advertising, placeholders, bare places, dates and links: never content."""
-    t, n = strip(line), normal_heading(line)
-    prefix = F.lit(False)
-    for p in vocab.JUNK_PREFIXES:
-        prefix = prefix | n.startswith(p)
+    t = strip(line)
+    # one pattern, so that a line's form is computed once
+    known = "^(?:" + "|".join(rf"\Q{p}\E" for p in vocab.JUNK_PREFIXES) + ")|" + SEVERAL
     return (
-        prefix | line.rlike(P.VENDOR) | line.rlike(P.PLACEHOLDER) | t.rlike(P.CITY_STATE_ZIP) | t.rlike(P.GLUED_ICON) | t.rlike(P.BIRTH_DATE)
-        | t.rlike(rf"(?i)^{P.COUNTRY}$") | t.rlike(rf"(?i)^[A-Za-z .]{{2,30}},\s*{P.COUNTRY}$") | t.rlike(P.EMPLOYMENT_TYPE) | letter_spaced(t) | several_headings(line) | t.rlike(P.BARE_LINK)
+        normal_heading(line).rlike(known) | (let(F.lower(line), lambda x: _any(x, P.VENDOR_SIGNS)) & line.rlike(P.VENDOR)) | line.rlike(P.PLACEHOLDER) | t.rlike(P.CITY_STATE_ZIP) | t.rlike(P.GLUED_ICON) | t.rlike(P.BIRTH_DATE)
+        | t.rlike(rf"(?i)^{P.COUNTRY}$") | t.rlike(rf"(?i)^[A-Za-z .]{{2,30}},\s*{P.COUNTRY}$") | t.rlike(P.EMPLOYMENT_TYPE) | letter_spaced(t) | t.rlike(P.BARE_LINK)
     )
 
 
+def _any(text: Column, signs: list[str]) -> Column:
+    out = F.lit(False)
+    for s in signs:
+        out = out | F.contains(text, F.lit(s))
+    return out
+
+
 def bare_contact(line: Column) -> Column:
     """A contact label, an e-mail address or a phone number, and nothing else."""
     t = strip(F.regexp_replace(strip(line), r"^[|·•,;]+|[|·•,;]+$", ""))

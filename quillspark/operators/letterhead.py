@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import patterns as P
 from ..functions import text as T
+from ..plans.stage import staged
 from .headings import resolve
 
 WINDOW = 6
+#: The longest line that ``person_name`` takes for a name; letter-spaced names are shorter.
+NAME_CHARS = 60
 
 
 def pieces(line: Column) -> Column:
     """What of a line may be a field of its own: the line, what lies between bars, contact labels or wide gaps, and what stands before an address or a number."""
-    phone = F.get(T.phones(line), F.lit(0))
+    before = F.get(F.transform(F.array(F.get(T.phones(line), F.lit(0))), lambda x: F.when(F.position(x, line) > 1, F.substring(line, F.lit(1), F.position(x, line) - 1))), F.lit(0))
     parts = F.concat(
-        F.array(T.strip(line)), F.split(line, r"\s*[|•·]\s*"), F.split(line, P.CONTACT_LABEL),
-        F.array(F.regexp_extract(line, rf"^(.*?){T.EMAIL}", 1), F.when(F.position(phone, line) > 1, F.substring(line, F.lit(1), F.position(phone, line) - 1))),
+        F.array(T.strip(line)), F.split(line, r"\s*[|•·]\s*"), F.when(line.rlike(P.CONTACT_SIGN), F.split(line, P.CONTACT_LABEL)).otherwise(F.array(line)),
+        F.array(F.when(line.contains("@"), F.regexp_extract(line, rf"^(.*?){T.EMAIL}", 1)), before),
         F.split(line, r"\s{3,}|\t"),
     )
-    return F.filter(F.array_distinct(F.transform(F.array_compact(parts), lambda s: T.squash(s))), lambda s: s != "")
+    return F.filter(F.array_distinct(F.transform(F.array_distinct(F.array_compact(parts)), lambda s: T.squash(s))), lambda s: s != "")
 
 
 def names_in_files(docs: DataFrame) -> DataFrame:
@@ -46,28 +49,32 @@ def letterhead(lines: DataFrame, preamble: DataFrame | None = None, files: DataF
     a shape that disagrees with the address gives way to the name the address spells. A letter-spaced name counts put together.
     """
     text = F.col("line")
-    email = F.nullif(F.regexp_extract(text, T.EMAIL, 0), F.lit(""))
-    found = lines.select("doc_id", "line_no", "line", email.alias("email"), F.get(T.phones(text), F.lit(0)).alias("phone"))
+    email = F.when(text.contains("@"), F.nullif(F.regexp_extract(text, T.EMAIL, 0), F.lit("")))
+    found = T.settled(lines.select("doc_id", "line_no", "line"), email=email, phone=F.get(T.phones(text), F.lit(0)))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("line_no", c, "line")))
-    anchors = found.groupBy("doc_id").agg(first("email").alias("e"), first("phone").alias("p"))
+    anchors = staged(found.where("email is not null or phone is not null").groupBy("doc_id").agg(first("email").alias("e"), first("phone").alias("p")))
     within = lambda a: F.coalesce(F.abs(F.col("line_no") - F.col(f"{a}.line_no")) <= WINDOW, F.lit(False))
     tiers = F.filter(F.array(F.when(within("e"), 0), F.when(within("p"), 1)), lambda t: t.isNotNull())
-    near = lines.join(anchors, "doc_id").select("doc_id", F.explode(tiers).alias("tier"), F.col("line_no").cast("long").alias("ord"), "line")
+    near = staged(lines.join(anchors, "doc_id").select("doc_id", F.explode(tiers).alias("tier"), F.col("line_no").cast("long").alias("ord"), "line"))
     above = lines.sparkSession.createDataFrame([], near.schema) if preamble is None else preamble.select("doc_id", F.lit(2).alias("tier"), F.col("ord").cast("long").alias("ord"), "line")
     offered = near.unionByName(above)
     joined = T.unspaced_name(text)
     candidates = offered.select("doc_id", "tier", "ord", F.col("line").alias("source"), F.posexplode(F.concat(F.transform(pieces(text), lambda s: F.struct(s.alias("line"), F.lit(False).alias("spaced"))), F.filter(F.array(F.struct(joined.alias("line"), F.lit(True).alias("spaced"))), lambda x: x["line"].isNotNull()))).alias("pos", "x"))
-    candidates = resolve(candidates.select("doc_id", "tier", "ord", "pos", "source", "x.line", "x.spaced"), approximate=False)
+    # a name has 60 characters at most; longer pieces are kept for the number they hold
+    number = F.when(text.rlike("(?i)^contact"), F.nullif(T.strip(F.regexp_replace(text, P.CONTACT_LEAD, "")), F.lit(""))).when(~text.rlike("(?i)job title"), F.get(T.phones(text), F.lit(0)))
+    candidates = T.settled(candidates.select("doc_id", "tier", "ord", "pos", "source", "x.line", "x.spaced"), number=number, short=F.char_length(T.strip(text)) <= NAME_CHARS)
+    candidates = staged(candidates.where("short or number is not null"))
     key = F.col("heading_key")
-    named = candidates.where(T.person_name(text, key) | (F.col("spaced") & T.collapsed_name(text, key)))
-    repeats = lines.select("doc_id", T.strip(text).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("repeats"))
-    plain = above.select("doc_id", T.squash(text).alias("line")).distinct().withColumn("__above", F.lit(True))
+    named = resolve(candidates.where("short"), approximate=False).where(T.person_name(text, key) | (F.col("spaced") & T.collapsed_name(text, key)))
+    named = staged(named.select("doc_id", "tier", "ord", "pos", "source", "line"))
+    short = T.settled(lines.select("doc_id", "line"), line=T.strip(text)).where(F.char_length("line") <= NAME_CHARS)
+    repeats = short.groupBy("doc_id", "line").agg(F.count("*").alias("repeats"))
+    plain = T.settled(above.select("doc_id", "line"), line=T.squash(text)).where(F.char_length("line") <= NAME_CHARS).distinct().withColumn("__above", F.lit(True))
     named = named.join(repeats, ["doc_id", "line"], "left").join(plain, ["doc_id", "line"], "left").withColumn("twice", F.coalesce(F.col("repeats") >= 2, F.lit(False)))
     shape = F.struct("line", "source", "twice", F.coalesce("__above", F.lit(False)).alias("above"))
     best = named.groupBy("doc_id").agg(F.min_by(shape, F.struct(~F.col("twice"), "tier", "ord", "pos")).alias("shape"))
-    numbers = candidates.withColumn("lead", T.strip(F.regexp_replace(text, P.CONTACT_LEAD, ""))).withColumn("number", F.when(text.rlike("(?i)^contact"), F.nullif("lead", F.lit(""))).when(~text.rlike("(?i)job title"), F.get(T.phones(text), F.lit(0))))
-    numbers = numbers.where("number is not null").groupBy("doc_id").agg(F.min_by("number", F.struct("tier", "ord", "pos")).alias("number"))
-    whole = anchors.join(best, "doc_id", "full").join(numbers, "doc_id", "left").withColumn("spelled", T.name_from_email(F.col("e.email")))
+    numbers = candidates.where("number is not null").groupBy("doc_id").agg(F.min_by("number", F.struct("tier", "ord", "pos")).alias("number"))
+    whole = anchors.join(best, "doc_id", "full").join(numbers, "doc_id", "full").withColumn("spelled", T.name_from_email(F.col("e.email")))
     whole = whole.withColumn("filed", F.lit(None).cast("string")) if files is None else whole.join(files.withColumnRenamed("name", "filed"), "doc_id", "full")
     words = lambda c: F.filter(F.split(F.lower(c), r"[\s.,]+"), lambda w: F.char_length(w) >= 3)
     agrees = F.col("spelled").isNull() | F.arrays_overlap(words(F.col("shape.line")), words(F.col("spelled")))
@@ -98,8 +105,9 @@ def letterhead(lines: DataFrame, preamble: DataFrame | None = None, files: DataF
 def biography(preamble: DataFrame, heads: DataFrame) -> DataFrame:
     """(doc_id, text): the first line of prose above the first heading that the letterhead doesn't hold, with its label or without."""
     used = heads.groupBy("doc_id").agg(F.collect_set(T.strip(F.col("source"))).alias("used"))
-    text = T.strip(F.col("line"))
+    text = F.col("__text")
     bare = T.strip(F.regexp_replace(text, P.LETTERHEAD_LABEL, ""))
-    rows = preamble.join(used, "doc_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
-    rows = rows.where(T.prose(text) & ~F.array_contains("used", text) & ~((bare != text) & F.array_contains("used", bare)))
+    told = T.settled(preamble, __text=T.strip(F.col("line")))
+    rows = T.settled(told, __prose=T.prose(text)).where("__prose").join(used, "doc_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
+    rows = rows.where(~F.array_contains("used", text) & ~((bare != text) & F.array_contains("used", bare)))
     return rows.groupBy("doc_id").agg(F.min_by(text, "ord").alias("text"))

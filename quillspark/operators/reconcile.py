@@ -27,11 +27,13 @@ def uncovered(lines: DataFrame, items: DataFrame, cap: int = vocab.REPORT_CAP) -
     blobs = said.groupBy("doc_id").agg(F.array_join(F.collect_set("said"), "\n").alias("blob"))
     values = items.select("doc_id", F.explode(F.map_values("fields")).alias("v")).where(F.char_length(T.strip(F.col("v"))) >= vocab.REPORT_CHARS).groupBy("doc_id").agg(F.collect_set(T.comparable(F.col("v"))).alias("values"))
     names = items.where("section = 'full_name'").groupBy("doc_id").agg(F.min_by(T.squash(F.lower(F.col("fields")["value"])), "item_ord").alias("name"))
-    line = T.strip(F.col("line"))
-    shaped = T.heading_shaped(line)
+    lines = T.settled(lines, __line=T.strip(F.col("line")))
+    lines = T.settled(lines, __shaped=T.heading_shaped(F.col("__line")))
+    line, shaped = F.col("__line"), F.col("__shaped")
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     told = lines.withColumn("context", F.coalesce(F.last(F.when(shaped, F.regexp_replace(T.squash(line), ":+$", "")), ignorenulls=True).over(w), F.lit(vocab.TOP)))
-    left = told.where(F.col("heading_key").isNull() & ~shaped & T.reportable(line)).withColumn("own", T.comparable(line)).withColumn("unlabelled", T.comparable(F.regexp_replace(line, T.LABEL, "")))
+    left = T.settled(told.where(F.col("heading_key").isNull() & ~shaped & T.reportable(line)), own=T.comparable(line))
+    left = T.settled(left, unlabelled=F.when(line.rlike(T.LABEL), T.comparable(F.regexp_replace(line, T.LABEL, ""))).otherwise(F.col("own")))
     left = left.join(blobs, "doc_id", "left").join(values, "doc_id", "left").join(names, "doc_id", "left")
     blob = F.coalesce("blob", F.lit(""))
     inside = F.exists(F.coalesce("values", F.array().cast("array<string>")), lambda v: F.contains(F.col("own"), v) & (F.char_length(v) >= F.char_length("own") * vocab.COVERED))

@@ -52,6 +52,8 @@ VENDOR = (
     r"|\byou'?re also going to need a cover letter\b"
     r"|utm_source=word_doc|utm_medium="
 )
+#: Each alternative of VENDOR holds one of these: lines without any are not held to it.
+VENDOR_SIGNS = ["resum", "job seeker", "hire one of our", "struggling", "good company", "money-zine", "zety", "template", "font files", "cover letter", "how to write", "by industry", "utm_"]
 PLACEHOLDER = r"(?i)\byour (?:address|city|state|zip|phone|email|company)\b"
 CITY_STATE_ZIP = r"^[A-Za-z .]{2,40},\s*[A-Z]{2},?\s*[0-9]{5}(-[0-9]{4})?$"
 GLUED_ICON = r"^[a-z]{4,}[A-Z]{2,}$"
@@ -169,6 +171,8 @@ VERB = r"(?i)^(approve|accept|reject|remove)\b(.*)$"
 
 # Letterheads.
 CONTACT_LABEL = r"(?i)\b(?:phone|tel(?:ephone)?|mob(?:ile)?|cell|e-?mail|address|contact)\b\s*:?"
+#: Each alternative of CONTACT_LABEL holds one of these.
+CONTACT_SIGN = r"(?i)phone|tel|mob|cell|mail|address|contact"
 TITLE_LABEL = r"(?i)^job\s*titles?\s*:?\s*"
 CONTACT_LEAD = r"(?i)^contact(?:\s+(?:details|info(?:rmation)?|number))?\s*:?\s*"
 LETTERHEAD_LABEL = r"(?i)^\s*(?:job\s*titles?|title|contact|phone|tel|telephone|mobile|email|e-mail|address|name)\s*:\s*"

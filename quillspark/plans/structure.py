@@ -49,8 +49,8 @@ def sectioned(body: DataFrame, taught: DataFrame | None = None) -> DataFrame:
     parts = headings.split_glued(cut.withColumn("line_no", F.struct("line_no", "piece")))
     order = Window.partitionBy("doc_id").orderBy("line_no", "part")
     numbered = parts.withColumn("at", F.row_number().over(order).cast("long")).select("doc_id", F.col("at").alias("line_no"), F.lit(0).alias("part"), "line")
-    known = headings.authoritative(headings.resolve(numbered, taught=taught))
-    return staged(headings.assign_sections(staged(known)))
+    known = headings.authoritative(headings.resolve(numbered, taught=taught), asked=F.col("heading_key").isNotNull())
+    return staged(headings.assign_sections(known))
 
 
 def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int = 2026, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -98,7 +98,6 @@ def items_of(docs: DataFrame, taught: DataFrame | None = None, as_of_year: int =
     spoken = placed.where((F.col("section") == "_ignored") & ~F.col("is_heading") & T.strip(line).rlike(P.LANGUAGE_LIST)).select("doc_id", *_item(F.col("line_no"), F.lit("language_proficiency"), F.create_map().cast("map<string,string>"), T.strip(line), 0.75))
     # page headers first, the longest before the others: on many documents they are the contact strip
     above = lines.longest_first(furniture).select("doc_id", (F.col("place") - (1 << 30)).alias("ord"), F.col("norm").alias("line")).unionByName(placed.where("section is null").select("doc_id", F.col("line_no").alias("ord"), "line"))
-    above = staged(above)
     files = letterhead.names_in_files(docs.select("doc_id", "text", "document")) if "document" in docs.columns else None
     found_heads = staged(letterhead.letterhead(raw, above, files))
     heads = found_heads.select("doc_id", *_item(F.array_position(F.array(*map(F.lit, rewrites.LETTERHEAD)), F.col("section")) - 10, F.col("section"), _map(value=F.col("value")), F.col("source"), F.col("confidence")))

@@ -68,3 +68,27 @@ def test_long_parts_of_an_entry_are_kept(spark):
     got = {r["i"]: r for r in fields.employment(df).collect()}
     assert name in (got[1]["title"] or "") + " " + (got[1]["employer"] or "")
     assert got[2]["employer"].endswith("p1199")
+
+
+def test_lines_are_read_once_however_often_they_are_asked_for(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text as T
+    from quillspark.operators import headings, lines, reconcile
+
+    rows = spark.range(5).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("line_no"), F.col("id").cast("string").alias("line"), F.lit(False).alias("is_header_footer"))
+    items = spark.createDataFrame([], "doc_id long, item_ord long, section string, fields map<string,string>, raw_text string")
+    used = lambda df, sign: df._jdf.queryExecution().optimizedPlan().toString().count(sign)
+    form = "[^\\w\\s,/-]"
+    assert used(rows.where(T.junk(F.col("line"))), form) == 1
+    assert used(lines.running_headers(rows), form) < 10
+    assert used(reconcile.uncovered(headings.resolve(rows, approximate=False), items), form) < 10
+    assert used(T.settled(rows, x=F.upper("line")).where("x <> 'A' and x <> 'B'"), "upper(") == 1
+
+
+def test_a_contact_without_a_number_or_an_address_is_kept(spark):
+    from quillspark.operators import letterhead
+
+    lines_ = spark.createDataFrame([(1, 0, "Contact: 4th floor"), (1, 1, "of the house")], "doc_id int, line_no int, line string")
+    got = letterhead.letterhead(lines_, lines_.selectExpr("doc_id", "line_no as ord", "line")).collect()
+    assert [(r["section"], r["value"]) for r in got] == [("contact_info", "4th floor")]
