@@ -55,8 +55,8 @@ FOREIGN = ("svg", "math")
 ENDS_SELECT = frozenset("select input textarea".split())
 #: Levels of lists that are indented; deeper ones stand where the last of them does.
 INDENTED = 64
-#: Columns are aligned by spaces unless that takes over so many a character of the table, and over PADDING_FREE in all.
-PADDING, PADDING_FREE = 32, 1 << 20
+#: Characters after which the lines of a table are folded.
+FOLD = 1 << 12
 
 # quotes count after an equals sign alone; a tag that never ends takes the rest of the page with it
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>\x00]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?:>|\Z)|<[!?/][^>]*+>?", re.DOTALL)
@@ -470,32 +470,41 @@ def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _aligned(rows: list[list[tuple[int, str]]]) -> list[str]:
-    """Lines of rows of (column, text): columns as wide as their widest cell, whatever that is, and a bar between them.
+    """Lines of rows of (column, text): columns as wide as their widest cell and a bar between them.
 
-    Only a table that would take very many more spaces than it has characters (one huge cell over thousands of
-    rows) is left unaligned: its columns are parted by bars alone.
+    A table is folded at ``FOLD`` characters, as a printed one is at the edge of its page: columns that would end beyond it go
+    on a line of their own below, and a cell wider than a line ends its line and widens no column. Cells stand in their columns
+    whatever the number of rows, and no row's line depends on how large the table is.
     """
     width: dict[int, int] = {}
     for row in rows:
         for col, text in row:
-            width[col] = max(width.get(col, 0), len(text))
-    columns = sorted(width)
-    place = dict(zip(columns, range(len(columns)), strict=True))
-    offset = [0]
-    for c in columns:
-        offset.append(offset[-1] + width[c] + 3)
-    ends = [max((place[c] for c, t in row if t), default=-1) for row in rows]
-    size = sum(offset[k] for k in ends if k >= 0)
-    aligned = size <= max(PADDING_FREE, PADDING * sum(len(t) + 1 for row in rows for _, t in row))
-    lines = []
-    for row, end in zip(rows, ends, strict=True):
-        if end < 0:
-            continue
-        if aligned:
-            cells = dict(row)
-            lines.append(" | ".join(cells.get(c, "").ljust(width[c]) for c in columns[: end + 1]).rstrip(" |"))
-        else:
-            lines.append(" | ".join(t for _, t in row).rstrip(" |"))
+            width[col] = max(width.get(col, 0), len(text) if len(text) <= FOLD else 0)
+    bands: list[list[int]] = [[]]
+    place: dict[int, tuple[int, int]] = {}
+    taken = 0
+    for c in sorted(width):
+        if bands[-1] and taken + width[c] > FOLD:
+            bands.append([])
+            taken = 0
+        place[c] = len(bands) - 1, len(bands[-1])
+        bands[-1].append(c)
+        taken += width[c] + 3
+    lines: list[str] = []
+    for row in rows:
+        now, line = -1, []
+        for c, text in row:
+            if not text:
+                continue
+            band, nth = place[c]
+            if band != now:
+                lines.append(" | ".join(line).rstrip(" |"))
+                now, line = band, []
+            line += [" " * width[x] for x in bands[band][len(line) : nth]]
+            line.append(text.ljust(width[c]))
+            if len(text) > width[c]:
+                now = -1
+        lines.append(" | ".join(line).rstrip(" |"))
     return [x for x in lines if x]
 
 

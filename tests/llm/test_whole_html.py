@@ -141,3 +141,20 @@ def test_random_pages_say_what_their_models_say():
     for seed in range(1500):
         model = Model(seed)
         assert html_text.extract(model.html)[1] == "\n".join(model.lines), (seed, model.html)
+
+
+def test_tables_of_any_size_are_aligned_alike():
+    wide, row = "w" * 600, "<tr><td>a<td>b"
+    for n in (1, 10, 10_000):  # 6 MB of spaces over 60 KB of text at last
+        lines = html_text.extract(f"<table><tr><td>{wide}<td>1{row * n}</table>")[1].split("\n")
+        assert lines == [f"{wide} | 1"] + [f"{'a':600} | b"] * n
+
+
+def test_wide_tables_are_folded_with_their_cells_in_columns():
+    for n in (1, 1000):
+        lines = html_text.extract("<table><tr><td>" + "x" * 5000 + "<td>b<td>c" + "<tr><td>a<td>bb<td>c" * n + "</table>")[1].split("\n")
+        assert lines == ["x" * 5000, "  | b  | c"] + ["a | bb | c"] * n
+        lines = html_text.extract("<table><tr>" + "".join(f"<td>{k:04}" for k in range(1000)) + "<tr><td colspan=999><td>last" * n + "</table>")[1].split("\n")
+        folded = lines[: -n]
+        assert len(folded) == 2 and " | ".join(folded) == " | ".join(f"{k:04}" for k in range(1000)) and max(map(len, folded)) <= 4096
+        assert {x.index("last") for x in lines[-n:]} == {folded[1].index("0999")}
